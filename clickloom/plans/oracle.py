@@ -186,6 +186,10 @@ clicks AS (
 USER_AD = """
 user_ad AS (
   SELECT date, userid, adid, count(*) AS click_count FROM clicks GROUP BY ALL)"""
+LOGGED = """
+logged AS (
+  SELECT * REPLACE (replace(province, ' ', '_') AS province, replace(city, ' ', '_') AS city)
+  FROM clicks WHERE event_type <> 'error')"""
 PROVINCE = """
 province_ad AS (
   SELECT date, province, adid, count(*) AS click_count FROM clicks GROUP BY ALL)"""
@@ -381,9 +385,8 @@ ORACLE = {
         [ACTIONS, CITIES, PRODUCTS, AREA_COUNTS, AREA_RANK], "SELECT * FROM ranked WHERE rank <= 3"
     ),
     "ad_log_parse": _with(
-        [CLICKS],
-        "SELECT date_trunc('millisecond', ts) AS ts, date, replace(province, ' ', '_') AS province,"
-        " replace(city, ' ', '_') AS city, userid, adid FROM clicks WHERE event_type <> 'error'",
+        [CLICKS, LOGGED],
+        "SELECT date_trunc('millisecond', ts) AS ts, date, province, city, userid, adid FROM logged",
     ),
     "ad_log_malformed": _with(
         [CLICKS],
@@ -457,6 +460,33 @@ ORACLE = {
         "SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, adid,"
         " count(*) AS click_count FROM spread GROUP BY ALL",
     ),
+    "stream_ad_blacklist": _with(
+        [CLICKS, LOGGED],
+        "SELECT DISTINCT userid FROM (SELECT userid FROM logged GROUP BY date, userid, adid"
+        " HAVING count(*) >= 2)",
+    ),
+    "stream_ad_user_click_count": _with(
+        [CLICKS, LOGGED],
+        "SELECT date, userid, adid, count(*) AS click_count FROM logged GROUP BY ALL",
+    ),
+    "stream_ad_province_top3": _with(
+        [
+            CLICKS,
+            LOGGED,
+            "counted AS (SELECT date, province, adid, count(*) AS click_count FROM logged GROUP BY ALL)",
+        ],
+        _TOP3.format(scope="date, province", tie="", source="counted"),
+    ),
+    "stream_ad_stat": _with(
+        [CLICKS, LOGGED],
+        "SELECT date, province, city, adid, count(*) AS click_count FROM logged GROUP BY ALL",
+    ),
+    "stream_ad_click_trend": _with(
+        [CLICKS, LOGGED],
+        f"SELECT CAST({_MINUTE} AS DATE) AS date, strftime({_MINUTE}, '%H') AS hour,"
+        f" strftime({_MINUTE}, '%M') AS minute, adid, count(*) AS click_count"
+        " FROM logged GROUP BY ALL",
+    ),
     "date_diff_features": _with(
         [_PERIOD_PARTS],
         "SELECT l_orderkey, l_linenumber, (epoch_ms(b) - epoch_ms(a)) / 3600000.0::DOUBLE AS diff_hours,"

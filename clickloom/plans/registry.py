@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ from clickloom.operators import (
 )
 from clickloom.operators.filters import SessionCriteria, any_overlap, session_filter
 from clickloom.plans import jobs
+from clickloom.runtime import shared_dir
 from clickloom.sources import bindings as b
 from clickloom.sources.sinks import list_columns_as_text, stamped
+from clickloom.streaming import jobs as streams
+from clickloom.streaming.tables import AdTables
 
 DAYS = jobs.DateRange("2024-01-02", "2024-01-29")
 CRITERIA = SessionCriteria(
@@ -303,6 +308,46 @@ def ad_click_sliding(s, d):
     return _plain(clicks.clicks_sliding(b.ad_clicks(s, d)))
 
 
+def _run_flow(s, d) -> AdTables:
+    """The blacklist stream over all events, to its end."""
+    folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
+    tables = AdTables.below(f"{folder}/tables")
+    streams.start_ad_flow(
+        b.ad_line_stream(s, d), tables, f"{folder}/checkpoint", THRESHOLD, interval=None
+    ).awaitTermination()
+    return tables
+
+
+def stream_ad_blacklist(s, d):
+    return _run_flow(s, d).blacklist.current(s)
+
+
+def stream_ad_user_click_count(s, d):
+    return _run_flow(s, d).user_clicks.current(s)
+
+
+def stream_ad_province_top3(s, d):
+    return _run_flow(s, d).province_top.current(s)
+
+
+def stream_ad_stat(s, d):
+    folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
+    table = streams.stat_table(f"{folder}/tables")
+    streams.start_ad_stat(
+        b.ad_line_stream(s, d), table, f"{folder}/checkpoint", interval=None
+    ).awaitTermination()
+    return table.current(s)
+
+
+def stream_ad_click_trend(s, d):
+    folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
+    tables = AdTables.below(f"{folder}/tables")
+    streams.start_ad_trend(
+        b.ad_line_stream(s, d), tables, f"{folder}/checkpoint", interval=None
+    ).awaitTermination()
+    return tables.trend.current(s)
+
+
 def date_diff_features(s, d):
     lineitem = b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     orders = b.table(s, d, "orders").select("o_orderkey", "o_orderdate")
@@ -457,6 +502,11 @@ QUERIES = {
     "keyed_replace": keyed_replace,
     "ad_click_trend": ad_click_trend,
     "ad_click_sliding": ad_click_sliding,
+    "stream_ad_blacklist": stream_ad_blacklist,
+    "stream_ad_user_click_count": stream_ad_user_click_count,
+    "stream_ad_province_top3": stream_ad_province_top3,
+    "stream_ad_stat": stream_ad_stat,
+    "stream_ad_click_trend": stream_ad_click_trend,
     "date_diff_features": date_diff_features,
     "date_part_features": date_part_features,
     "calendar_spine": calendar_spine,

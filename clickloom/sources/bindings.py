@@ -123,9 +123,23 @@ def clicks_of(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
 
 def ad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ad-click log lines; error events leave out the ad, so they are malformed."""
+    return lines_of(spark, sf_dir, table(spark, sf_dir, "events"))
+
+
+def ad_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as a stream."""
+    events = (
+        spark.readStream.schema(table(spark, sf_dir, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    return lines_of(spark, sf_dir, events)
+
+
+def lines_of(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
     ad = F.when(F.col("event_type") != "error", (F.col("k") % 20).cast("string"))
-    return _located(spark, sf_dir, table(spark, sf_dir, "events")).select(
+    return _located(spark, sf_dir, events).select(
         F.concat_ws(
             " ",
             millis,
