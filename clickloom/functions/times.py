@@ -90,14 +90,22 @@ def period_between(a: Column, b: Column) -> Column:
 
 def completed_years(birth: Column, on: Column) -> Column:
     """Age in completed years."""
-    before = F.date_format(on, "MMdd") < F.date_format(birth, "MMdd")
+
+    def day_of_year(c: Column) -> Column:
+        return F.month(c) * 100 + F.dayofmonth(c)
+
+    before = day_of_year(on) < day_of_year(birth)
     return F.year(on) - F.year(birth) - F.when(before, 1).otherwise(0)
 
 
+def time_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a is before, at or after b; 0 if either is NULL."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def compare_times(a: Column, b: Column, pattern: str = DATE_TIME) -> Column:
-    """-1, 0 or 1 for two time texts; 0 if either does not parse."""
-    gap = F.unix_timestamp(parse_time(a, pattern)) - F.unix_timestamp(parse_time(b, pattern))
-    return F.coalesce(F.signum(gap).cast("int"), F.lit(0))
+    """The same for two time texts; 0 if either does not parse."""
+    return time_order(parse_time(a, pattern), parse_time(b, pattern))
 
 
 def day_start(c: Column) -> Column:

@@ -20,9 +20,7 @@ def date_diff_features(df: DataFrame, a: str, b: str) -> DataFrame:
             "diff_calendar_days": times.calendar_days_between(x, y).cast("bigint"),
             "diff_period": times.period_between(x, y),
             "completed_years": times.completed_years(x, y).cast("bigint"),
-            "time_order": times.compare_times(
-                times.format_time(x), times.format_time(y)
-            ).cast("bigint"),
+            "time_order": times.time_order(x, y).cast("bigint"),
         }
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,21 +23,28 @@ _MIN_MILLIS = -62135596800000
 _MAX_MILLIS = 253402300799999
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    parts = F.split("value", " ", 5)
-    millis = F.get(parts, F.lit(0)).try_cast("bigint")
-    fields = lines.select(
-        "value",
-        F.when(millis.between(_MIN_MILLIS, _MAX_MILLIS), millis).alias("_millis"),
-        F.get(parts, F.lit(1)).alias("province"),
-        F.get(parts, F.lit(2)).alias("city"),
-        F.get(parts, F.lit(3)).try_cast("bigint").alias("userid"),
-        F.get(parts, F.lit(4)).try_cast("bigint").alias("adid"),
-    )
-    return fields.withColumn("ts", F.timestamp_millis("_millis")).withColumn(
-        "_valid",
-        F.col("ts").isNotNull() & F.col("userid").isNotNull() & F.col("adid").isNotNull(),
-    )
+def _fields(lines: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
+    """Lines split once, the test for a whole line, and the click's columns.
+
+    The split goes through ``explode``: as a plain column it would be merged
+    into the test and into every field, and run once for each.
+    """
+    parts = lines.select(F.explode(F.array(F.split("value", " ", 5))).alias("parts"))
+    province, city = F.get("parts", F.lit(1)), F.get("parts", F.lit(2))
+    millis = F.get("parts", F.lit(0)).try_cast("bigint")
+    userid = F.get("parts", F.lit(3)).try_cast("bigint")
+    adid = F.get("parts", F.lit(4)).try_cast("bigint")
+    valid = millis.between(_MIN_MILLIS, _MAX_MILLIS) & userid.isNotNull() & adid.isNotNull()
+    ts = F.timestamp_millis(millis)
+    columns = [
+        ts.alias("ts"),
+        F.to_date(ts).alias("date"),
+        province.alias("province"),
+        city.alias("city"),
+        userid.alias("userid"),
+        adid.alias("adid"),
+    ]
+    return parts, F.coalesce(valid, F.lit(False)), columns
 
 
 def parse_ad_lines(lines: DataFrame) -> DataFrame:
@@ -45,18 +52,13 @@ def parse_ad_lines(lines: DataFrame) -> DataFrame:
 
     Lines that do not parse are left out; ``malformed_line_count`` tells how many.
     """
-    return (
-        _parsed(lines)
-        .where("_valid")
-        .select("ts", F.to_date("ts").alias("date"), "province", "city", "userid", "adid")
-    )
+    parts, valid, columns = _fields(lines)
+    return parts.where(valid).select(*columns)
 
 
 def malformed_line_count(lines: DataFrame) -> DataFrame:
-    return _parsed(lines).agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(~F.col("_valid")).alias("malformed"),
-    )
+    parts, valid, _ = _fields(lines)
+    return parts.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~valid).alias("malformed"))
 
 
 def blacklist_filter(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
