@@ -71,3 +71,9 @@ def make_users(spark):
 
 def physical_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted_plan(df) -> str:
+    """The ``explain("formatted")`` text."""
+    modes = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(modes.fromString("formatted"))

@@ -1,0 +1,136 @@
+import re
+from datetime import datetime
+
+import pytest
+from conftest import formatted_plan, physical_plan
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from clickloom import runtime
+from clickloom.operators import actions as action_ops
+from clickloom.operators import sessions
+from clickloom.operators.filters import SessionCriteria
+from clickloom.sources import bindings, readers, sinks
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_run_stamp():
+    assert sinks.run_stamp(datetime(2024, 1, 5, 6, 7, 8)) == "20240105060708"
+    assert re.fullmatch(r"\d{14}", sinks.run_stamp())
+
+
+def test_stamped(spark):
+    row = sinks.stamped(spark.range(1), "t").first()
+    assert tuple(row) == ("t", 0)
+
+
+def test_lists_become_text(spark):
+    df = spark.createDataFrame([([1, None, 2], "x"), (None, "y")], "ids array<bigint>, s string")
+    got = [tuple(r) for r in sinks.list_columns_as_text(df).collect()]
+    assert got == [("1,2", "x"), (None, "y")]
+
+
+def test_jdbc_append_sets_the_options(spark, monkeypatch):
+    """The writer's calls only: no database is started for the tests."""
+    seen = {}
+    writer = type(spark.range(1).write)
+    monkeypatch.setattr(writer, "save", lambda self: seen.setdefault("saved", True))
+
+    def option(self, key, value):
+        seen[key] = value
+        return self
+
+    monkeypatch.setattr(writer, "option", option)
+    monkeypatch.setattr(writer, "mode", lambda self, m: seen.setdefault("mode", m) and self)
+    sinks.append_jdbc(spark.range(1), "jdbc:x:y", "t", "u", "p", partitions=2)
+    assert seen == {
+        "url": "jdbc:x:y",
+        "dbtable": "t",
+        "batchsize": 10_000,
+        "user": "u",
+        "password": "p",
+        "mode": "append",
+        "saved": True,
+    }
+
+
+@pytest.fixture(scope="module")
+def saved(spark):
+    raw = bindings.raw_actions(bindings.table(spark, SF, "events"))
+    sinks.save_table(raw, "user_visit_action", partition_by=("date",))
+    sinks.save_table(raw, "actions_by_session", bucket_by=(4, "session_id"))
+    sinks.save_table(bindings.users(spark, SF), "user_info")
+    sinks.save_table(bindings.products(spark, SF), "product_info")
+    return raw
+
+
+def test_saved_tables_read_back(spark, saved):
+    assert readers.read_actions(spark).count() == saved.count()
+    assert readers.read_users(spark).count() == 150
+    assert readers.read_products(spark).count() == 200
+    sinks.save_table(saved.limit(5), "overwritten")
+    sinks.save_table(saved.limit(3), "overwritten")
+    assert spark.table("overwritten").count() == 3
+
+
+def test_date_range_prunes_partitions(spark, saved):
+    scan = action_ops.action_scan(readers.read_actions(spark), "2024-01-03", "2024-01-04")
+    plan = physical_plan(scan)
+    assert "PartitionFilters: [isnotnull(date" in plan
+    expected = action_ops.action_scan(bindings.actions(spark, SF), "2024-01-03", "2024-01-04")
+    assert scan.count() == expected.count() > 0
+
+
+def test_bucketed_actions_need_no_session_shuffle(spark, saved):
+    actions = readers.read_actions(spark, "actions_by_session")
+    plan = physical_plan(sessions.session_spans(actions))
+    assert "Exchange" not in plan
+    kept = action_ops.filtered_actions(actions, sessions.session_spans(actions))
+    assert "Exchange hashpartitioning(session_id" not in physical_plan(kept)
+
+
+def test_user_conditions_reach_the_scan(spark, saved):
+    criteria = SessionCriteria(start_age=10, end_age=20, professionals="BUILDING", sex="1")
+    matching = sessions.matching_sessions(
+        readers.read_actions(spark), readers.read_users(spark), criteria
+    )
+    plan = formatted_plan(matching)
+    pushed = [p for p in re.findall(r"PushedFilters: \[(.*?)\]", plan) if "age" in p]
+    assert "GreaterThanOrEqual(age,10)" in pushed[0]
+    assert "EqualTo(sex,1)" in pushed[0]
+    assert "professional" in pushed[0]
+
+
+def test_spans_combine_by_hash_before_the_shuffle(spark):
+    plan = physical_plan(sessions.session_spans(bindings.actions(spark, SF)))
+    below = plan[plan.index("Exchange hashpartitioning(session_id") :]
+    assert "HashAggregate" in below[below.index("user_id") :]
+    assert plan.rstrip().count("FileScan") == 1
+    assert re.search(r"ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>", plan)
+
+
+def test_no_python_in_any_plan(spark):
+    for name, query in entry.queries().items():
+        if name.startswith("stream_"):
+            continue
+        plan = physical_plan(query(spark, SF))
+        assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin", plan), name
+
+
+def test_shared_dir_comes_from_the_session(spark):
+    assert runtime.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_broadcast_hint_depends_on_the_bound(spark):
+    small = runtime.broadcast_bounded(spark.range(3), 10)
+    large = runtime.broadcast_bounded(spark.range(3), runtime.BROADCAST_MAX_ROWS + 1)
+    hint = "ResolvedHint (strategy=broadcast)"
+    assert hint in small._jdf.queryExecution().analyzed().toString()
+    assert hint not in large._jdf.queryExecution().analyzed().toString()
+
+
+def test_checkpoint_keeps_rows(spark):
+    df = spark.range(10).withColumn("x", F.col("id") * 2)
+    kept = runtime.checkpointed(df)
+    assert sorted(kept.collect()) == sorted(df.collect())
