@@ -11,44 +11,60 @@ from clickloom.operators.filters import SessionCriteria
 USER_COLUMNS = ("age", "professional", "city", "sex")
 
 
-def _visit_length() -> Column:
-    return F.unix_timestamp("end_time") - F.unix_timestamp("start_time")
+# Fixed value: wider than the range of a bigint, so that user ids never reach
+# into the next microsecond.
+_MICRO = "20000000000000000000"
+_NO_USER = 2**63 - 1
 
 
-def _spans(actions: DataFrame, inner_keys: list[str], extra: list[Column]) -> DataFrame:
-    """Per inner group: first and last time and number of actions."""
-    return actions.groupBy("session_id", "user_id", *inner_keys).agg(
-        F.min("action_time").alias("start_time"),
-        F.max("action_time").alias("end_time"),
-        F.count(F.lit(1)).alias("step_length"),
-        *extra,
-    )
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c).cast("decimal(18,0)") * F.lit(_MICRO).cast("decimal(20,0)")
 
 
-def _fold_spans(spans: DataFrame, extra: list[Column]) -> DataFrame:
-    """Inner groups to sessions; the user of the earliest action owns the session."""
-    return spans.groupBy("session_id").agg(
-        F.min_by("user_id", F.struct("start_time", "user_id")).alias("user_id"),
-        F.min("start_time").alias("start_time"),
-        F.max("end_time").alias("end_time"),
-        F.sum("step_length").alias("step_length"),
-        *extra,
-    )
+def _first_user_key() -> Column:
+    """Time and user as one number: its minimum tells the user of the earliest action.
+
+    A number has a fixed width, so the aggregate stays a hash aggregate; with
+    a struct as ordering Spark would sort all actions instead.
+    """
+    user = F.coalesce("user_id", F.lit(_NO_USER)).cast("decimal(19,0)")
+    return (_micros(F.col("action_time")) + user).cast("decimal(38,0)")
+
+
+def _first_user(key: str) -> Column:
+    user = (F.col(key) - _micros(F.col("start_time"))).cast("bigint")
+    return F.nullif(user, F.lit(_NO_USER))
+
+
+def _visit_length() -> Column:
+    return F.unix_timestamp("end_time") - F.unix_timestamp("start_time")
 
 
 def session_spans(actions: DataFrame, criteria: SessionCriteria | None = None) -> DataFrame:
     """Sessions without their lists: user, times and lengths.
 
-    The first grouping is by session and user, whose running values all have
-    a fixed width: it stays a hash aggregate and combines before the shuffle,
-    also for a session that holds a large share of all rows. Where the
-    criteria name keywords or categories, the match is folded in as a flag,
-    so that no list is built just to be searched.
+    Every running value has a fixed width, so actions combine by hash before
+    the one shuffle, also those of a session with a large share of all rows.
+    Where the criteria name keywords or categories, the match is folded in as
+    a flag, so that no list is built just to be searched.
     """
     flags = {} if criteria is None else criteria.action_flags()
-    spans = _spans(actions, [], [F.max(c).alias(n) for n, c in flags.items()])
-    sessions = _fold_spans(spans, [F.max(n).alias(n) for n in flags])
-    return sessions.withColumn("visit_length", _visit_length())
+    spans = actions.groupBy("session_id").agg(
+        F.min(_first_user_key()).alias("_first"),
+        F.min("action_time").alias("start_time"),
+        F.max("action_time").alias("end_time"),
+        F.count(F.lit(1)).alias("step_length"),
+        *[F.max(c).alias(n) for n, c in flags.items()],
+    )
+    return spans.select(
+        "session_id",
+        _first_user("_first").alias("user_id"),
+        "start_time",
+        "end_time",
+        "step_length",
+        *flags,
+        _visit_length().alias("visit_length"),
+    )
 
 
 def session_aggregate(actions: DataFrame) -> DataFrame:
@@ -57,13 +73,29 @@ def session_aggregate(actions: DataFrame) -> DataFrame:
     The first grouping removes repeats, so that the second sees each value of
     a session once, however many actions carried it.
     """
-    keyed = actions.withColumn("search_keyword", text.non_empty(F.col("search_keyword")))
-    spans = _spans(keyed, ["search_keyword", "click_category_id"], [])
-    lists = [
-        F.array_sort(F.collect_set("search_keyword")).alias("search_keywords"),
-        F.array_sort(F.collect_set("click_category_id")).alias("click_category_ids"),
-    ]
-    return _fold_spans(spans, lists).withColumn("visit_length", _visit_length())
+    keyword = text.non_empty(F.col("search_keyword"))
+    once = (
+        actions.withColumn("search_keyword", keyword)
+        .groupBy("session_id", "user_id", "search_keyword", "click_category_id")
+        .agg(
+            F.min("action_time").alias("start_time"),
+            F.max("action_time").alias("end_time"),
+            F.count(F.lit(1)).alias("step_length"),
+        )
+    )
+    first_user = F.min_by("user_id", F.struct("start_time", F.coalesce("user_id", F.lit(_NO_USER))))
+    return (
+        once.groupBy("session_id")
+        .agg(
+            first_user.alias("user_id"),
+            F.min("start_time").alias("start_time"),
+            F.max("end_time").alias("end_time"),
+            F.sum("step_length").alias("step_length"),
+            F.array_sort(F.collect_set("search_keyword")).alias("search_keywords"),
+            F.array_sort(F.collect_set("click_category_id")).alias("click_category_ids"),
+        )
+        .withColumn("visit_length", _visit_length())
+    )
 
 
 def session_user_join(sessions: DataFrame, users: DataFrame) -> DataFrame:
