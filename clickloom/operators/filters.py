@@ -5,7 +5,7 @@ The scalar ones are bare comparisons, so they reach the parquet scan of the user
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _tokens(value: str | Iterable | None) -> tuple[str, ...]:
+def _tokens(value: str | Sequence | None) -> tuple[str, ...]:
     """A comma list or a sequence as tokens; empty ones are dropped."""
     if value is None:
         return ()
@@ -39,7 +39,7 @@ def equals(c: Column, value: str | None) -> Column | None:
     return c == value
 
 
-def any_match(c: Column, values: str | Iterable | None) -> Column | None:
+def any_match(c: Column, values: str | Sequence | None) -> Column | None:
     """Scalar equal to any listed value; NULL and "-1" never match."""
     wanted = _tokens(values)
     if not wanted:
@@ -48,7 +48,7 @@ def any_match(c: Column, values: str | Iterable | None) -> Column | None:
     return c.isin(*usable) if usable else F.lit(False)
 
 
-def any_overlap(c: Column, values: str | Iterable | None, element: str) -> Column | None:
+def any_overlap(c: Column, values: str | Sequence | None, element: str) -> Column | None:
     """Array sharing at least one element with the listed values."""
     wanted = _tokens(values)
     if not wanted:
@@ -66,11 +66,11 @@ class SessionCriteria:
 
     start_age: int | None = None
     end_age: int | None = None
-    professionals: str | Iterable | None = None
-    cities: str | Iterable | None = None
+    professionals: str | Sequence | None = None
+    cities: str | Sequence | None = None
     sex: str | None = None
-    keywords: str | Iterable | None = None
-    category_ids: str | Iterable | None = None
+    keywords: str | Sequence | None = None
+    category_ids: str | Sequence | None = None
 
     def user_condition(self) -> Column:
         """The part that looks at user columns only."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from clickloom.operators import clicks as ops
@@ -166,3 +167,56 @@ def start_ad_stat(
         .foreachBatch(_upsert_into(table, compact_every))
     )
     return _start(writer, checkpoint, interval)
+
+
+def sliding_counts(clicks: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    """Clicks per ad in every sliding window, of a stream with a watermark.
+
+    A stream in update mode takes one aggregation only, so here each click is
+    copied into its ``length / slide`` windows; keep that number small.
+    """
+    window = F.window("ts", f"{length_seconds} seconds", f"{slide_seconds} seconds")
+    return (
+        clicks.groupBy(window, "adid")
+        .agg(F.count(F.lit(1)).alias("click_count"))
+        .select(
+            F.col("window.start").alias("window_start"),
+            F.col("window.end").alias("window_end"),
+            "adid",
+            "click_count",
+        )
+    )
+
+
+def sliding_table(path: str) -> BatchLog:
+    """A table for ``start_ad_sliding``."""
+    keys = ("window_start", "window_end", "adid")
+    schema = T.StructType(
+        [
+            T.StructField("window_start", T.TimestampType()),
+            T.StructField("window_end", T.TimestampType()),
+            T.StructField("adid", T.LongType()),
+            T.StructField("click_count", T.LongType()),
+        ]
+    )
+    return BatchLog(f"{path}/ad_click_sliding", schema, batchlog.latest(keys, "click_count"))
+
+
+def start_ad_sliding(
+    lines: DataFrame,
+    table: BatchLog,
+    checkpoint: str,
+    length_seconds: int = 3600,
+    slide_seconds: int = 600,
+    interval: str | None = "10 seconds",
+    watermark: str = "60 minutes",
+    compact_every: int = 100,
+) -> StreamingQuery:
+    """Clicks per ad in sliding windows by event time."""
+    clicks = ops.parse_ad_lines(lines).withWatermark("ts", watermark)
+    writer = (
+        sliding_counts(clicks, length_seconds, slide_seconds)
+        .writeStream.outputMode("update")
+        .foreachBatch(_upsert_into(table, compact_every))
+    )
+    return _start(writer, checkpoint, interval)

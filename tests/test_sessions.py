@@ -63,6 +63,21 @@ def test_spans_equal_aggregate(actions):
     assert sorted(lists.select(spans.columns).collect()) == sorted(spans.collect())
 
 
+def test_first_user_of_ties_and_odd_ids(make_actions):
+    """Ties go to the smaller id; NULL comes last; any bigint is possible."""
+    low, high = -(2**63), 2**63 - 2
+    time, later = f"{DAY} 10:00:00", f"{DAY} 10:00:01"
+    actions = make_actions(
+        ("a", 8, time), ("a", 3, time), ("a", 1, later),
+        ("b", None, time), ("b", 4, time), ("c", None, time),
+        ("d", low, later), ("d", high, time), ("e", low, time), ("e", high, time),
+        ("f", -5, "1960-01-01 00:00:00"), ("f", 2, time),
+    )
+    expected = {"a": 3, "b": 4, "c": None, "d": high, "e": low, "f": -5}
+    for result in (sessions.session_spans(actions), sessions.session_aggregate(actions)):
+        assert {r.session_id: r.user_id for r in result.collect()} == expected
+
+
 def test_join_drops_sessions_without_user(actions, users):
     joined = sessions.session_user_join(sessions.session_spans(actions), users)
     assert sorted((r.session_id, r.age) for r in joined.collect()) == [("a", 20), ("b", 50)]

@@ -188,6 +188,21 @@ def test_running_counts_from_state_equal_batch(folder, spark):
     assert {tuple(r) for r in table.current(spark).collect()} == expected
 
 
+def test_sliding_stream_equals_batch(folder, spark):
+    table = jobs.sliding_table(str(folder.path / "sliding"))
+    lines = []
+    for f in range(2):
+        part = [_line(f * 1000 + i * 97, ad=i % 2) for i in range(30)]
+        lines += part
+        folder.drop(*part)
+        jobs.start_ad_sliding(
+            folder.lines(), table, folder.checkpoint, 1800, 600, interval=None
+        ).awaitTermination()
+    batch = ops.parse_ad_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    expected = {tuple(r) for r in ops.clicks_sliding(batch, 1800, 600).collect()}
+    assert {tuple(r) for r in table.current(spark).collect()} == expected
+
+
 def test_day_windows_refuse_other_zones(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
     try:
