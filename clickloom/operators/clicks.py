@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,18 +47,25 @@ def _fields(lines: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
     return parts, F.coalesce(valid, F.lit(False)), columns
 
 
-def parse_ad_lines(lines: DataFrame) -> DataFrame:
+def _line_counts(valid: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("lines"), F.count_if(~valid).alias("malformed")]
+
+
+def parse_ad_lines(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     """``epoch_ms province city userid adid`` lines as typed clicks.
 
-    Lines that do not parse are left out; ``malformed_line_count`` tells how many.
+    Lines that do not parse are left out; ``malformed_line_count`` tells how
+    many. An observation gets the same numbers while the clicks are computed.
     """
     parts, valid, columns = _fields(lines)
+    if counts is not None:
+        parts = parts.observe(counts, *_line_counts(valid))
     return parts.where(valid).select(*columns)
 
 
 def malformed_line_count(lines: DataFrame) -> DataFrame:
     parts, valid, _ = _fields(lines)
-    return parts.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~valid).alias("malformed"))
+    return parts.agg(*_line_counts(valid))
 
 
 def blacklist_filter(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from clickloom.operators import calendar, clicks, keyed, textjobs
@@ -30,6 +31,13 @@ def test_parse_keeps_well_formed_lines_only(spark):
     assert tuple(clicks.malformed_line_count(lines).first()) == (9, 8)
 
 
+def test_observed_line_counts(spark):
+    seen = Observation()
+    lines = _lines(spark, f"{_millis(START)} p c 7 3", "x", None)
+    assert clicks.parse_ad_lines(lines, seen).count() == 1
+    assert seen.get == {"lines": 3, "malformed": 2}
+
+
 @pytest.fixture(scope="module")
 def make_clicks(spark):
     def make(*rows):
