@@ -11,29 +11,20 @@ from clickloom.operators.filters import SessionCriteria
 USER_COLUMNS = ("age", "professional", "city", "sex")
 
 
-# Fixed value: wider than the range of a bigint, so that user ids never reach
-# into the next microsecond.
+_LAST_USER = 2**63 - 1  # where a NULL user sorts
+# Wider than the range of a bigint, so that no user id reaches into the next microsecond.
 _MICRO = "20000000000000000000"
-_NO_USER = 2**63 - 1
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c).cast("decimal(18,0)") * F.lit(_MICRO).cast("decimal(20,0)")
-
-
-def _first_user_key() -> Column:
-    """Time and user as one number: its minimum tells the user of the earliest action.
+def _time_then_user() -> Column:
+    """Time and user as one number, to find the user of the earliest action.
 
     A number has a fixed width, so the aggregate stays a hash aggregate; with
     a struct as ordering Spark would sort all actions instead.
     """
-    user = F.coalesce("user_id", F.lit(_NO_USER)).cast("decimal(19,0)")
-    return (_micros(F.col("action_time")) + user).cast("decimal(38,0)")
-
-
-def _first_user(key: str) -> Column:
-    user = (F.col(key) - _micros(F.col("start_time"))).cast("bigint")
-    return F.nullif(user, F.lit(_NO_USER))
+    micros = F.unix_micros("action_time").cast("decimal(18,0)")
+    user = F.coalesce("user_id", F.lit(_LAST_USER)).cast("decimal(19,0)")
+    return (micros * F.lit(_MICRO).cast("decimal(20,0)") + user).cast("decimal(38,0)")
 
 
 def _visit_length() -> Column:
@@ -50,7 +41,7 @@ def session_spans(actions: DataFrame, criteria: SessionCriteria | None = None) -
     """
     flags = {} if criteria is None else criteria.action_flags()
     spans = actions.groupBy("session_id").agg(
-        F.min(_first_user_key()).alias("_first"),
+        F.min_by("user_id", _time_then_user()).alias("user_id"),
         F.min("action_time").alias("start_time"),
         F.max("action_time").alias("end_time"),
         F.count(F.lit(1)).alias("step_length"),
@@ -58,7 +49,7 @@ def session_spans(actions: DataFrame, criteria: SessionCriteria | None = None) -
     )
     return spans.select(
         "session_id",
-        _first_user("_first").alias("user_id"),
+        "user_id",
         "start_time",
         "end_time",
         "step_length",
@@ -83,7 +74,7 @@ def session_aggregate(actions: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("step_length"),
         )
     )
-    first_user = F.min_by("user_id", F.struct("start_time", F.coalesce("user_id", F.lit(_NO_USER))))
+    first_user = F.min_by("user_id", F.struct("start_time", F.coalesce("user_id", F.lit(_LAST_USER))))
     return (
         once.groupBy("session_id")
         .agg(
