@@ -13,10 +13,23 @@ from clickloom.llm import (
     lzprint,
     packing,
     simhash,
+    suffix_dedup,
 )
 from clickloom.llm.common import stored, table
 
 
+def op2_suffix_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Bytes of documents that repeat 50 bytes of one with a smaller id."""
+    found = suffix_dedup.deduplicated(table(s, d, "documents"), keep=("doc_id",))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_byte_bpe(s: SparkSession, d: str) -> DataFrame:
     """Token counts and digests of ids and of the bytes got back from them."""
     import public_tokenizers
@@ -119,6 +132,7 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_suffix_dedup,
         op3_byte_bpe,
         op5_decontamination,
         op6_simhash,
