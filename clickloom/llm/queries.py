@@ -12,12 +12,21 @@ from clickloom.llm import (
     license_join,
     lzprint,
     packing,
+    quality,
     simhash,
     suffix_dedup,
+    toxicity,
 )
 from clickloom.llm.common import stored, table
 
 
+def op1_toxicity(s: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document by a classifier chain."""
+    docs = table(s, d, "documents")
+    chain = toxicity.fit_chain(docs, table(s, d, "labels"))
+    return toxicity.scored(docs, chain, keep=("doc_id",))
+
+
 def op2_suffix_dedup(s: SparkSession, d: str) -> DataFrame:
     """Bytes of documents that repeat 50 bytes of one with a smaller id."""
     found = suffix_dedup.deduplicated(table(s, d, "documents"), keep=("doc_id",))
@@ -49,6 +58,18 @@ def op3_byte_bpe(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_quality(s: SparkSession, d: str) -> DataFrame:
+    """Quality of every document from its text and its source; a path is a source's language."""
+    docs = table(s, d, "documents")
+    return quality.classified(
+        docs,
+        table(s, d, "labels"),
+        F.col("source"),
+        F.concat_ws("/", "source", "lang"),
+        keep=("doc_id", "source"),
+    )
+
+
 def op5_decontamination(s: SparkSession, d: str) -> DataFrame:
     """Words of documents inside windows of benchmark items."""
     found = decontam.contamination(
@@ -132,8 +153,10 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_suffix_dedup,
         op3_byte_bpe,
+        op4_quality,
         op5_decontamination,
         op6_simhash,
         op7_lz_fingerprint,
