@@ -173,6 +173,8 @@ def _sampled(length: int, gram: int, slots: int):
     """
 
     def rows(h: np.ndarray, c: np.ndarray, known: bool):
+        if not len(h):
+            return
         slot = _slot(h, slots)
         order = np.lexsort((c, slot))
         h, c, slot = h[order], c[order], slot[order]
@@ -274,11 +276,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(h[keep], c[keep], slot[keep])
 
 
-_PIECES = "cover boolean, sample long, id long, content long, at int, lead int, stop int, piece binary"
+# Pieces of a text and where they stand in it; or, for ``cover``, a range known to be covered.
+_PIECES = "cover boolean, sample long, id long, content long, at array<int>, lead int, stop int, piece binary"
 _PIECE_SCHEMA = pa.schema(
     [
         ("cover", pa.bool_()), ("sample", pa.int64()), ("id", pa.int64()), ("content", pa.int64()),
-        ("at", pa.int32()), ("lead", pa.int32()), ("stop", pa.int32()), ("piece", pa.binary()),
+        ("at", pa.list_(pa.int32())), ("lead", pa.int32()), ("stop", pa.int32()), ("piece", pa.binary()),
     ]
 )
 
@@ -306,16 +309,16 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return np.logical_and.reduceat(equal, offsets[:-1])
 
 
-def _collapsed(data, start, size, key, ids):
+def _collapsed(data, start, size, key, ids, ties=()):
     """Equal pieces as one: (order, class of each row in that order, first row of each class).
 
-    Rows are ordered by key columns, piece and id, so the first of a class has its
-    smallest id. Classes are made by hash and confirmed byte by byte; should two pieces
+    Rows are ordered by key columns, piece, id and ``ties``, so the first of a class has
+    its smallest id. Classes are made by hash and confirmed byte by byte; should two pieces
     only collide, the pieces themselves take the place of their hashes.
     """
     h = Prefixes(data).of(start, size)
     while True:
-        order = np.lexsort((ids, h, size, *key))
+        order = np.lexsort((*ties, ids, h, size, *key))
         first = np.zeros(len(order), bool)
         first[_starts(*[k[order] for k in (*key, size, h)])] = True
         rep = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -329,6 +332,67 @@ def _collapsed(data, start, size, key, ids):
         )
 
 
+def _united(who: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Ranges of each text joined where they overlap or touch: (text, start, stop)."""
+    if not len(who):
+        return who, lo, hi
+    order = np.lexsort((lo, who))
+    who, lo, hi = who[order], lo[order], hi[order]
+    wide = np.int64(1 << 40)
+    reach = np.maximum.accumulate(who * wide + hi)
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (who[1:] * wide + lo[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(who)) - 1
+    return who[first], lo[first], reach[last] - who[last] * wide
+
+
+def _merged_pieces(data, start, size, lead, sample, who, ids, contents, at):
+    """Rows of ``_PIECES`` for pieces of a task's texts, equal ones merged.
+
+    ``who`` numbers the texts, ``ids`` and ``contents`` are theirs. Of equal pieces those of the smallest id
+    are sent, one row for each text with all its places; the others are covered.
+    """
+    owner = ids[who]
+    order, cls, first = _collapsed(data, start, size, (lead, sample), owner, (at, who))
+    covered = owner[order] > owner[order][first][cls]
+    o = order[covered]
+    if len(o):
+        text, lo, hi = _united(who[o], at[o], at[o] + size[o])
+        n = len(text)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.ones(n, bool)),
+                pa.array(np.zeros(n, np.int64)),
+                pa.array(ids[text]),
+                pa.array(contents[text]),
+                pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32), lo.astype(np.int32)),
+                pa.array(np.zeros(n, np.int32)),
+                pa.array(hi.astype(np.int32)),
+                pa.nulls(n, pa.binary()),
+            ],
+            schema=_PIECE_SCHEMA,
+        )
+    o = order[~covered]
+    begin = _starts(cls[~covered], who[o])
+    row = o[begin]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.zeros(len(row), bool)),
+            pa.array(sample[row].view(np.int64)),
+            pa.array(owner[row]),
+            pa.array(contents[who[row]]),
+            pa.ListArray.from_arrays(
+                np.append(begin, len(o)).astype(np.int32), at[o].astype(np.int32)
+            ),
+            pa.array(lead[row].astype(np.int32)),
+            pa.array(np.zeros(len(row), np.int32)),
+            _gathered(data, start[row], size[row]),
+        ],
+        schema=_PIECE_SCHEMA,
+    )
+
+
 def _cut_out(length: int, gram: int, slots: int):
     """Task: the runs of its texts whose samples are repeated, equal ones of the task once.
 
@@ -367,33 +431,9 @@ def _cut_out(length: int, gram: int, slots: int):
         base = np.zeros(len(texts), np.int64)
         base[used] = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         data = np.frombuffer(b"".join(texts[i] for i in used), np.uint8)
-        start, size, lead = base[who] + q0, q1 - q0 + length, place - q0
-        owner = ids[who]
-        order, group, first = _collapsed(data, start, size, (lead, h), owner)
-        least = owner[order][first][group]
-        send = np.zeros(len(order), bool)
-        send[first] = True
-        covered = owner[order] > least
-        for mask, cover in ((send, False), (covered, True)):
-            o = order[mask]
-            if not len(o):
-                continue
-            bytes_ = (
-                pa.nulls(len(o), pa.binary()) if cover else _gathered(data, start[o], size[o])
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(o), cover)),
-                    pa.array(h[o].view(np.int64)),
-                    pa.array(owner[o]),
-                    pa.array(contents[who[o]]),
-                    pa.array(q0[o].astype(np.int32)),
-                    pa.array(lead[o].astype(np.int32)),
-                    pa.array((q0 + size)[o].astype(np.int32)),
-                    bytes_,
-                ],
-                schema=_PIECE_SCHEMA,
-            )
+        yield from _merged_pieces(
+            data, base[who] + q0, q1 - q0 + length, place - q0, h, who, ids, contents, q0
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
@@ -526,16 +566,6 @@ _COVERS = "id long, content long, at int, stop int"
 _COVER_NAMES = ["id", "content", "at", "stop"]
 
 
-def _cover_batch(ids, contents, at, stop):
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids), pa.array(contents),
-            pa.array(at.astype(np.int32)), pa.array(stop.astype(np.int32)),
-        ],
-        names=_COVER_NAMES,
-    )
-
-
 def _matched(length: int, key: str):
     """Task: covered places of pieces that meet by ``key``; pieces of a key stand together."""
 
@@ -545,15 +575,13 @@ def _matched(length: int, key: str):
             size = np.array([len(x) for x in raw], np.int64)
             start = np.concatenate(([0], np.cumsum(size)[:-1]))
             data = np.frombuffer(b"".join(raw), np.uint8)
-            ids, contents, at = table["id"], table["content"], table["at"].astype(np.int64)
+            ids, contents = table["id"], table["content"]
+            covers = _Covers(ids, contents, table["at"])
             lead, sample = table["lead"].astype(np.int64), table[key]
             order, cls, first = _collapsed(data, start, size, (lead, sample), ids)
             least = ids[order][first]
             whole = order[ids[order] > least[cls]]
-            if len(whole):
-                yield _cover_batch(
-                    ids[whole], contents[whole], at[whole], at[whole] + size[whole]
-                )
+            covers.add(whole, np.zeros(len(whole), np.int64), size[whole])
             rep = order[first]
             by_sample = np.argsort(sample[rep], kind="stable")
             rep = rep[by_sample]
@@ -565,43 +593,61 @@ def _matched(length: int, key: str):
             piece, within, least = _least_elsewhere(
                 data, start[rep], size[rep], lead[rep], group, ids[rep], length
             )
-            # the first of a class stands for all rows with its id
             hit = least < ids[rep][piece]
             piece, within = piece[hit], within[hit]
-            if not len(piece):
-                continue
-            by = np.lexsort((within, piece))
-            piece, within = piece[by], within[by]
-            new = np.ones(len(piece), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (within[1:] != within[:-1] + 1)
-            i = np.flatnonzero(new)
-            j = np.append(i[1:], len(piece)) - 1
-            r = rep[piece[i]]
-            yield from _all_equal(
-                ids, contents, at, order, cls, r, within[i], within[j] + length
-            )
+            if len(piece):
+                by = np.lexsort((within, piece))
+                piece, within = piece[by], within[by]
+                new = np.ones(len(piece), bool)
+                new[1:] = (piece[1:] != piece[:-1]) | (within[1:] != within[:-1] + 1)
+                i = np.flatnonzero(new)
+                j = np.append(i[1:], len(piece)) - 1
+                lo, hi = within[i], within[j] + length
+                # what holds for the first of a class holds for its other rows with that id
+                cls_of = np.empty(len(order), np.int64)
+                cls_of[order] = cls
+                of = cls_of[rep[piece[i]]]
+                times = np.append(first[1:], len(order))[of] - first[of]
+                at = np.repeat(first[of] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                lo, hi, rows = np.repeat(lo, times), np.repeat(hi, times), order[at]
+                same_id = ids[rows] == np.repeat(ids[order[first[of]]], times)
+                covers.add(rows[same_id], lo[same_id], hi[same_id])
+            yield from covers.batches()
 
     return run
 
 
-def _all_equal(ids, contents, at, order, cls, reps, lo, hi):
-    """Covers of class representatives, also for rows of the same class with the same id."""
-    cls_of = np.empty(len(order), np.int64)
-    cls_of[order] = cls
-    first = np.searchsorted(cls, cls_of[reps])
-    last = first + 1
-    n = len(order)
-    while True:  # rows of a class are ordered by id, so those with the same id come first
-        ok = (last < n) & (cls[np.minimum(last, n - 1)] == cls_of[reps])
-        ok &= ids[order[np.minimum(last, n - 1)]] == ids[reps]
-        if not ok.any():
-            break
-        last = last + ok
-    times = last - first
-    rows = order[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(
-        np.concatenate(([0], np.cumsum(times)[:-1])), times)]
-    lo, hi = np.repeat(lo, times), np.repeat(hi, times)
-    yield _cover_batch(ids[rows], contents[rows], at[rows] + lo, at[rows] + hi)
+class _Covers:
+    """Covered ranges of pieces, at every place where a text has the piece."""
+
+    def __init__(self, ids: np.ndarray, contents: np.ndarray, at: np.ndarray):
+        self.text = _texts(ids, contents)
+        self.ids, self.contents = _first_of(ids, contents)
+        self.places = np.array([len(x) for x in at], np.int64)
+        self.flat = np.concatenate(at).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        self.begin = np.cumsum(self.places) - self.places
+        self.found: list[tuple] = []
+
+    def add(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        times = self.places[rows]
+        index = np.repeat(self.begin[rows] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        at = self.flat[index]
+        self.found.append(
+            (np.repeat(self.text[rows], times), at + np.repeat(lo, times), at + np.repeat(hi, times))
+        )
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        text, lo, hi = _united(*(np.concatenate(x) for x in zip(*self.found, strict=True)))
+        if len(text):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.ids[text]),
+                    pa.array(self.contents[text]),
+                    pa.array(lo.astype(np.int32)),
+                    pa.array(hi.astype(np.int32)),
+                ],
+                names=_COVER_NAMES,
+            )
 
 
 def _windows(length: int):
@@ -618,39 +664,44 @@ def _windows(length: int):
             count = size - length + 1
             row = np.repeat(np.arange(len(raw)), count)
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            places = batch.column("at").to_pylist()
+            times = np.array([len(x) for x in places], np.int64)[row]
+            flat = np.concatenate([np.array(x, np.int64) for x in places])
+            begin = np.cumsum([len(x) for x in places]) - [len(x) for x in places]
+            index = np.repeat(begin[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            row, within = np.repeat(row, times), np.repeat(within, times)
             at = start[row] + within
-            each = np.full(len(at), length)
-            ids = batch.column("id").to_numpy()[row]
-            contents = batch.column("content").to_numpy()[row]
-            places = batch.column("at").to_numpy()[row] + within
-            order, cls, first = _collapsed(data, at, each, (), ids)
-            send = np.zeros(len(order), bool)
-            send[first] = True
-            covered = ids[order] > ids[order][first][cls]
-            h = mixed(Prefixes(data).of(at, length)).view(np.int64)
-            for mask, cover in ((send, False), (covered, True)):
-                o = order[mask]
-                if not len(o):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(o), cover)),
-                        pa.array(h[o]),
-                        pa.array(ids[o]),
-                        pa.array(contents[o]),
-                        pa.array(places[o].astype(np.int32)),
-                        pa.array(np.zeros(len(o), np.int32)),
-                        pa.array((places[o] + length).astype(np.int32)),
-                        pa.nulls(len(o), pa.binary())
-                        if cover
-                        else _gathered(data, at[o], each[o]),
-                    ],
-                    schema=_PIECE_SCHEMA,
-                )
+            ids, contents = (batch.column(n).to_numpy() for n in ("id", "content"))
+            yield from _merged_pieces(
+                data,
+                at,
+                np.full(len(at), length),
+                np.zeros(len(at), np.int64),
+                mixed(Prefixes(data).of(at, length)),
+                _texts(ids, contents)[row],
+                *_first_of(ids, contents),
+                flat[index] + within,
+            )
 
     return run
 
 
+def _texts(ids: np.ndarray, contents: np.ndarray) -> np.ndarray:
+    """Number of the text that each row is of."""
+    order = np.lexsort((contents, ids))
+    begin = _starts(ids[order], contents[order])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(ids)))
+    return out
+
+
+def _first_of(ids: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id and content of each such text."""
+    order = np.lexsort((contents, ids))
+    row = order[_starts(ids[order], contents[order])]
+    return ids[row], contents[row]
+
+
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes; runs that touch are one."""
     out: list[list[int]] = []
@@ -775,7 +826,10 @@ def covers(
         .sortWithinPartitions("sample")
         .mapInArrow(_matched(length, "sample"), _COVERS)
     )
-    done = [x.where("cover").select(*_COVER_NAMES) for x in (pieces, single)]
+    done = [
+        x.where("cover").select("id", "content", F.col("at")[0].alias("at"), "stop")
+        for x in (pieces, single)
+    ]
     return copies.unionByName(calm).unionByName(dense).unionByName(done[0]).unionByName(done[1])
 
 
