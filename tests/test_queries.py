@@ -1,13 +1,14 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query of the library against its SQL on the smallest tables."""
 
 import check
 import pytest
 
 import __spark_entry__ as entry
+from clickloom.plans import oracle, registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLE = oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,8 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLE.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
