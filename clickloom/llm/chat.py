@@ -125,7 +125,7 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
             (F.col("depth") - F.lit(1 << level)).alias("depth"),
             "path_rank",
         )
-        path = path.unionByName(higher)
+        path = stored(path.unionByName(higher))
     return path.select("tree", "leaf", "node", "depth", "path_rank")
 
 
