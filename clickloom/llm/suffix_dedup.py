@@ -19,8 +19,10 @@ GRAM = 20
 CHUNK = 1 << 20
 # Sampled places gathered before repeats within a task are merged.
 UNIT = 1 << 21
-# A sample with more pieces than this is compared place by place, spread by content.
-CROWD = 512
+# A sample is crowded if its pieces are over half of what a task gets on average, within
+# these bounds: below the first it is no burden, above the second it would fill a task's memory.
+# Crowded samples are split into single windows, which spread by their content.
+CROWD = (1024, 16_384)
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -744,7 +746,7 @@ def covers(
     text: str = "text",
     length: int = LENGTH,
     gram: int = GRAM,
-    crowd: int = CROWD,
+    crowd: int | None = None,
 ) -> DataFrame:
     """(id, content, at, stop): byte ranges covered by strings that a smaller id has too.
 
@@ -804,6 +806,8 @@ def covers(
         marked.select("id", "content", "zipped", "told").mapInArrow(_cut_out(length, gram, slots), _PIECES)
     )
     open_ = pieces.where("not cover").drop("cover", "stop")
+    if crowd is None:
+        crowd = min(max(CROWD[0], pieces.count() // (2 * parts)), CROWD[1])
     crowded = stored(
         open_.groupBy("sample").count().where(F.col("count") > crowd).select("sample")
     )
@@ -874,7 +878,7 @@ def deduplicated(
     text: str = "text",
     length: int = LENGTH,
     gram: int = GRAM,
-    crowd: int = CROWD,
+    crowd: int | None = None,
     keep: tuple[str, ...] | None = None,
     as_text: bool = False,
 ) -> DataFrame:

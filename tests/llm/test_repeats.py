@@ -40,7 +40,7 @@ def _texts(seed=1):
     return docs
 
 
-@pytest.mark.parametrize("crowd", [512, 1])
+@pytest.mark.parametrize("crowd", [None, 1])
 def test_repeated_passages(spark, crowd):
     docs = _texts()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
