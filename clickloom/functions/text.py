@@ -13,10 +13,6 @@ def is_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def is_not_empty(c: Column) -> Column:
-    return ~is_empty(c)
-
-
 def non_empty(c: Column) -> Column:
     """The text, with the empty string as NULL."""
     return F.nullif(c, F.lit(""))

@@ -5,31 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The date patterns in use.
-PATTERNS = {
-    "YYYY": "yyyy",
-    "YYYYMM": "yyyyMM",
-    "YYYYMMDD": "yyyyMMdd",
-    "YYYYMMDD_": "yyyy-MM-dd",
-    "yyyyMMddHHmmss": "yyyyMMddHHmmss",
-    "yyyyMMddHHmmss_": "yyyy-MM-dd HH:mm:ss",
-    "yyyyMMddHHmmssSSS_": "yyyy-MM-dd HH:mm:ss:SSS",
-    "HHmmssSSS_": "HH:mm:ss:SSS",
-    "yyyyMMddHHmmssSSS": "yyyyMMddHHmmssSSS",
-    "yyyyMdHms_": "yyyy-M-d H:m:s",
-    "yyMdHms": "yy-M-d H:m:s",
-    "yyMM": "yyMM",
-    "yyyyMMddHHmm_": "yyyy-MM-dd HH:mm",
-    "HHmm": "HH:mm",
-    "yyyyMMddp": "yyyy.MM.dd",
-    "MMdd": "MM月dd日",
-    "YYYYMMDDHHMMSS": "yyyy年MM月dd日HH时mm分ss秒",
-}
+# Fixed value: the pattern of stored times.
+DATE_TIME = "yyyy-MM-dd HH:mm:ss"
 # Day names, Sunday first.
 DAY_NAMES = ("星期日", "星期一", "星期二", "星期三", "星期四", "星期五", "星期六")
 
-DATE_TIME = PATTERNS["yyyyMMddHHmmss_"]
-
 
 def parse_time(c: Column, pattern: str = DATE_TIME) -> Column:
     """Text to timestamp; NULL where it does not parse."""

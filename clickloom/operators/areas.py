@@ -68,7 +68,10 @@ def _with_product(counts: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def area_product_rank(counts: DataFrame, products: DataFrame) -> DataFrame:
-    """Every known product's rank within its area, most clicks first."""
+    """Every known product's rank within its area, most clicks first.
+
+    Runs a job when called: see ``full_rank``.
+    """
     order = [F.desc("click_count"), F.asc("click_product_id")]
     return full_rank(_with_product(counts, products), ["area"], order, "rank")
 

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clickloom.runtime import broadcast_bounded
-
 
 def _listed(actions: DataFrame, column: str, count: str) -> DataFrame:
     ids = actions.select(F.explode(column).alias("category_id"))
@@ -85,18 +83,16 @@ def category_session_counts(actions: DataFrame) -> DataFrame:
     )
 
 
-def top_sessions(
-    actions: DataFrame, categories: DataFrame, max_categories: int = 10, k: int = 10
-) -> DataFrame:
+def top_sessions(actions: DataFrame, categories: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` sessions with most clicks in each of the given categories.
 
-    The categories, at most ``max_categories`` rows, filter the clicks before
-    they are counted. ``rank <= k`` lets Spark cut each category down before
+    The categories filter the clicks before they are counted; Spark broadcasts them if
+    they measure small. ``rank <= k`` lets Spark cut each category down before
     the shuffle, so a category with a large share of clicks is no hot spot.
     """
     wanted = categories.select(F.col("category_id").alias("click_category_id"))
     clicks = actions.select("session_id", "click_category_id").join(
-        broadcast_bounded(wanted, max_categories), "click_category_id", "left_semi"
+        wanted, "click_category_id", "left_semi"
     )
     best = W.partitionBy("category_id").orderBy(F.desc("click_count"), "session_id")
     return (

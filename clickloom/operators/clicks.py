@@ -139,16 +139,25 @@ def clicks_sliding(
     largest steps that all window edges fall on means that only counts, not
     clicks, are copied into the windows.
     """
-    step = gcd(length_seconds, slide_seconds)
-    steps = (
-        clicks.groupBy(F.window("ts", f"{step} seconds").alias("_step"), "adid")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(F.col("_step.start").alias("ts"), "adid", "_n")
+    steps = clicks_per_step(clicks, gcd(length_seconds, slide_seconds))
+    return windows_of_steps(steps, length_seconds, slide_seconds)
+
+
+def clicks_per_step(clicks: DataFrame, step_seconds: int) -> DataFrame:
+    """Clicks per ad in steps that follow each other."""
+    return (
+        clicks.groupBy(F.window("ts", f"{step_seconds} seconds").alias("_step"), "adid")
+        .agg(F.count(F.lit(1)).alias("click_count"))
+        .select(F.col("_step.start").alias("step_start"), "adid", "click_count")
     )
-    window = F.window("ts", f"{length_seconds} seconds", f"{slide_seconds} seconds")
+
+
+def windows_of_steps(steps: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    """Sliding windows over counts per step; all window edges must be edges of steps."""
+    window = F.window("step_start", f"{length_seconds} seconds", f"{slide_seconds} seconds")
     return (
         steps.groupBy(window, "adid")
-        .agg(F.sum("_n").alias("click_count"))
+        .agg(F.sum("click_count").alias("click_count"))
         .select(
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),

@@ -19,7 +19,8 @@ def full_rank(
     The rows are range-partitioned by group and order, so a large group spans
     many partitions; a row's rank is its place in its partition plus the
     group's rows in the partitions before. ``order`` must be unique within a
-    group. The sorted rows are checkpointed, as their places are read twice.
+    group. The sorted rows are checkpointed, as their places are read twice; that
+    job runs when this function is called.
     """
     keys = [F.col(g) for g in group] + order
     ranged = (

@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickloom.functions import text
+from clickloom.operators import actions as action_ops
 from clickloom.operators import sessions as session_ops
-from clickloom.runtime import broadcast_bounded
+from clickloom.runtime import stored
 
 CELL = ("date", "hour")
 SLICE_DIGITS = 3  # 4,096 slices per hour
@@ -58,9 +59,9 @@ def session_sample_quota(hour_counts: DataFrame, total: int) -> DataFrame:
 def session_random_sample(sessions: DataFrame, total: int, seed: int | str = 0) -> DataFrame:
     """Draw each hour's quota of sessions without replacement.
 
-    The same seed gives the same sample. At most ``total`` rows come out, so
-    at most ``total`` hours have a quota above zero: that bounds the side
-    that is broadcast.
+    The same seed gives the same sample. Sessions with their hashes are kept as a
+    table first, so they are aggregated once though counts, quotas and the draw all
+    read them; that runs when this is called.
     """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("session_id")))
     hashed = (
@@ -68,6 +69,7 @@ def session_random_sample(sessions: DataFrame, total: int, seed: int | str = 0)
         .withColumn("_hash", order)
         .withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
     )
+    hashed = stored(hashed)
     slices = hashed.groupBy(*CELL, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     hour_counts = slices.groupBy(*CELL).agg(F.sum("_n").alias("session_count"))
     quota = session_sample_quota(hour_counts, total).where("quota > 0").select(*CELL, "quota")
@@ -85,7 +87,7 @@ def session_random_sample(sessions: DataFrame, total: int, seed: int | str = 0)
     )
     in_slice = W.partitionBy(*CELL, "_slice").orderBy("_hash", "session_id")
     return (
-        hashed.join(broadcast_bounded(last_slices, total), list(CELL))
+        hashed.join(last_slices, list(CELL))
         .where("_slice <= _last")
         .withColumn("_rank", F.row_number().over(in_slice))
         .where("_slice < _last OR _rank <= _rest")
@@ -93,15 +95,9 @@ def session_random_sample(sessions: DataFrame, total: int, seed: int | str = 0)
     )
 
 
-def sampled_actions(actions: DataFrame, sample: DataFrame, total: int) -> DataFrame:
-    """Actions of the sampled sessions; ``total`` bounds the sample."""
-    ids = broadcast_bounded(sample.select("session_id"), total)
-    return actions.join(ids, "session_id", "left_semi")
-
-
-def session_extract(actions: DataFrame, sample: DataFrame, total: int) -> DataFrame:
+def session_extract(actions: DataFrame, sample: DataFrame) -> DataFrame:
     """Summary row of each sampled session; lists are built for these only."""
-    lists = session_ops.session_aggregate(sampled_actions(actions, sample, total))
+    lists = session_ops.session_aggregate(action_ops.filtered_actions(actions, sample))
     return lists.select(
         "session_id",
         F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"),
@@ -110,9 +106,9 @@ def session_extract(actions: DataFrame, sample: DataFrame, total: int) -> DataFr
     )
 
 
-def session_detail(actions: DataFrame, sample: DataFrame, total: int) -> DataFrame:
+def session_detail(actions: DataFrame, sample: DataFrame) -> DataFrame:
     """Every action of the sampled sessions."""
-    return sampled_actions(actions, sample, total).select(
+    return action_ops.filtered_actions(actions, sample).select(
         "user_id",
         "session_id",
         "page_id",

@@ -78,9 +78,9 @@ def run_session_sample(
     scanned = action_ops.action_scan(actions, *days)
     sample = session_sample(actions, users, days, criteria, total, seed).persist()
     try:
-        extract = sampling.session_extract(scanned, sample, total)
+        extract = sampling.session_extract(scanned, sample)
         sink(stamped(extract, task_id), "session_random_extract")
-        detail = sampling.session_detail(scanned, sample, total)
+        detail = sampling.session_detail(scanned, sample)
         sink(stamped(detail, task_id), "session_detail")
     finally:
         sample.unpersist()
@@ -99,7 +99,7 @@ def run_category_ranking(
     try:
         top = categories.top_categories(categories.category_funnel(kept), k).persist()
         sink(stamped(top, task_id), "top10_category")
-        best = categories.top_sessions(kept, top, max_categories=k, k=k)
+        best = categories.top_sessions(kept, top, k)
         sink(stamped(best, task_id), "top10_session")
         top.unpersist()
     finally:

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from clickloom.functions.buckets import STEP_LENGTH_BUCKETS, VISIT_LENGTH_BUCKETS
+# Fixed values, written out here again so that a wrong edge in the library is seen.
+VISIT_LENGTH_BUCKETS = (
+    ("1s_3s", 1, 3), ("4s_6s", 4, 6), ("7s_9s", 7, 9), ("10s_30s", 10, 30), ("30s_60s", 31, 60),
+    ("1m_3m", 61, 180), ("3m_10m", 181, 600), ("10m_30m", 601, 1800), ("30m", 1801, None),
+)
+STEP_LENGTH_BUCKETS = (
+    ("1_3", 1, 3), ("4_6", 4, 6), ("7_9", 7, 9), ("10_30", 10, 30), ("30_60", 31, 60),
+    ("60", 61, None),
+)
 
 ACTIONS = """
 ev AS (
@@ -190,6 +198,25 @@ LOGGED = """
 logged AS (
   SELECT * REPLACE (replace(province, ' ', '_') AS province, replace(city, ' ', '_') AS city)
   FROM clicks WHERE event_type <> 'error')"""
+
+
+def _flow() -> str:
+    """The blacklist stream part by part: a part's clicks without users listed by earlier ones."""
+    steps = ["list_0 AS (SELECT NULL::BIGINT AS userid WHERE false)"]
+    for n in range(4):
+        so_far = " UNION ALL ".join(f"SELECT * FROM part_{k}" for k in range(n + 1))
+        steps += [
+            f"part_{n} AS (SELECT * FROM logged WHERE hour(ts) // 6 = {n}"
+            f" AND userid NOT IN (SELECT userid FROM list_{n}))",
+            f"list_{n + 1} AS (SELECT userid FROM list_{n} UNION SELECT userid FROM"
+            f" (SELECT date, userid, adid FROM ({so_far}) GROUP BY ALL HAVING count(*) >= 2)"
+            f" SEMI JOIN part_{n} USING (date, userid, adid))",
+        ]
+    steps.append(f"flow AS ({so_far})")
+    return ", ".join(steps)
+
+
+FLOW = _flow()
 PROVINCE = """
 province_ad AS (
   SELECT date, province, adid, count(*) AS click_count FROM clicks GROUP BY ALL)"""
@@ -323,6 +350,13 @@ ORACLE = {
         " pay_category_ids, pay_product_ids"
         " FROM actions WHERE session_id IN (SELECT session_id FROM sample)",
     ),
+    "session_sample_job": _with(
+        [JOB, _SAMPLE_PARTS.replace("FROM sessions", "FROM kept"), LISTS.replace("FROM actions", "FROM ranged")],
+        f"SELECT {STAMP}, session_id, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time,"
+        " search_keywords, click_category_ids"
+        " FROM sample JOIN kept USING (session_id)"
+        " JOIN lists USING (session_id) JOIN id_lists USING (session_id)",
+    ),
     "filtered_actions": _with(
         [JOB, KEPT_ACTIONS], f"SELECT {_ACTION_COLUMNS} FROM kept_actions"
     ),
@@ -438,8 +472,10 @@ ORACLE = {
         [
             CLICKS,
             PROVINCE,
-            "fresh AS (SELECT * FROM province_ad WHERE date >= DATE '2024-01-15' AND adid < 10)",
-            f"old AS ({_TOP3.format(scope='date, province', tie='', source='province_ad')})",
+            "fresh AS (SELECT * FROM province_ad WHERE date >= DATE '2024-01-15')",
+            f"old AS ({_TOP3.format(scope='date, province', tie='', source='province_ad')})".replace(
+                "rn <= 3", "rn <= 5"
+            ),
             f"new AS ({_TOP3.format(scope='date, province', tie='', source='fresh')})",
         ],
         "SELECT * FROM new UNION ALL SELECT * FROM old"
@@ -460,23 +496,33 @@ ORACLE = {
         "SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, adid,"
         " count(*) AS click_count FROM spread GROUP BY ALL",
     ),
-    "stream_ad_blacklist": _with(
-        [CLICKS, LOGGED],
-        "SELECT DISTINCT userid FROM (SELECT userid FROM logged GROUP BY date, userid, adid"
-        " HAVING count(*) >= 2)",
-    ),
+    "stream_ad_blacklist": _with([CLICKS, LOGGED, FLOW], "SELECT userid FROM list_4"),
     "stream_ad_user_click_count": _with(
-        [CLICKS, LOGGED],
-        "SELECT date, userid, adid, count(*) AS click_count FROM logged GROUP BY ALL",
+        [CLICKS, LOGGED, FLOW],
+        "SELECT date, userid, adid, count(*) AS click_count FROM flow GROUP BY ALL",
     ),
     "stream_ad_province_top3": _with(
         [
             CLICKS,
             LOGGED,
-            "counted AS (SELECT date, province, adid, count(*) AS click_count FROM logged GROUP BY ALL)",
+            FLOW,
+            "counted AS (SELECT date, province, adid, count(*) AS click_count FROM flow GROUP BY ALL)",
         ],
         _TOP3.format(scope="date, province", tie="", source="counted"),
     ),
+    "stream_ad_line_counts": (
+        "SELECT count(*) AS lines, count(*) FILTER (event_type = 'error') AS malformed FROM events"
+    ),
+    "stream_ad_click_sliding": _with(
+        [
+            CLICKS,
+            LOGGED,
+            "spread AS (SELECT adid, time_bucket(INTERVAL 10 MINUTE, ts)"
+            " - to_minutes(10 * unnest(range(6))) AS window_start FROM logged)",
+        ],
+        "SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, adid,"
+        " count(*) AS click_count FROM spread GROUP BY ALL",
+    ),
     "stream_ad_stat": _with(
         [CLICKS, LOGGED],
         "SELECT date, province, city, adid, count(*) AS click_count FROM logged GROUP BY ALL",
@@ -512,12 +558,17 @@ ORACLE = {
     ),
     "calendar_spine": _with(
         [
-            "daily AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS orders FROM orders"
-            " WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)",
+            "daily AS (SELECT CAST(o_orderdate AS DATE) AS date,"
+            + ",".join(
+                f" count(*) FILTER (o_orderpriority LIKE '{n}-%') AS orders_{n}" for n in range(1, 6)
+            )
+            + " FROM orders GROUP BY ALL)",
             "spine AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))"
             " AS DATE) AS date FROM daily)",
         ],
-        "SELECT date, coalesce(orders, 0) AS orders FROM spine LEFT JOIN daily USING (date)",
+        "SELECT date,"
+        + ",".join(f" coalesce(orders_{n}, 0) AS orders_{n}" for n in range(1, 6))
+        + " FROM spine LEFT JOIN daily USING (date)",
     ),
     "week_calendar": _with(
         [

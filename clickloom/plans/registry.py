@@ -25,6 +25,7 @@ from clickloom.operators.filters import SessionCriteria, any_overlap, session_fi
 from clickloom.plans import jobs
 from clickloom.runtime import shared_dir
 from clickloom.sources import bindings as b
+from clickloom.sources import readers
 from clickloom.sources.sinks import list_columns_as_text, stamped
 from clickloom.streaming import jobs as streams
 from clickloom.streaming.tables import AdTables
@@ -43,6 +44,7 @@ TASK_ID = "20240131000000"
 SEED = 7
 SAMPLE_TOTAL = 3000
 THRESHOLD = 2
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 SPLIT_DATE = "2024-01-15"  # what is stored and what is new, for the merges
 
 
@@ -135,16 +137,23 @@ def session_sample_quota(s, d):
 def session_random_sample(s, d):
     actions = b.actions(s, d)
     sample = sampling.session_random_sample(_sessions(s, d), SAMPLE_TOTAL, SEED)
-    return stamped(sampling.session_extract(actions, sample, SAMPLE_TOTAL), TASK_ID)
+    return stamped(sampling.session_extract(actions, sample), TASK_ID)
 
 
 def session_detail(s, d):
     actions = b.actions(s, d)
     sample = sampling.session_random_sample(_sessions(s, d), SAMPLE_TOTAL, SEED)
-    detail = sampling.session_detail(actions, sample, SAMPLE_TOTAL)
+    detail = sampling.session_detail(actions, sample)
     return _plain(stamped(detail, TASK_ID))
 
 
+def session_sample_job(s, d):
+    """Ids and times of a sample of the filtered sessions, by hour."""
+    actions = b.actions(s, d)
+    sample = jobs.session_sample(actions, b.users(s, d), DAYS, CRITERIA, SAMPLE_TOTAL, SEED)
+    return stamped(sampling.session_extract(actions, sample), TASK_ID)
+
+
 def filtered_actions(s, d):
     return _plain(_kept_actions(s, d))
 
@@ -281,9 +290,9 @@ def _by_city_ad(events: DataFrame) -> DataFrame:
 
 
 def keyed_replace(s, d):
-    """Stored top ads of all days; new ones over the later days for the ads under 10."""
-    old = clicks.province_top_ads(ad_province_counts(s, d))
-    later = clicks.running_click_counts(_later(s, d).where("adid < 10"))
+    """Stored top ads of all days by all clicks; new ones by city, of the later days."""
+    old = clicks.province_top_ads(ad_province_counts(s, d), k=5)
+    later = clicks.running_click_counts(_later(s, d))
     new = clicks.province_top_ads(clicks.province_counts(later))
     return keyed.replace_groups(old, new, ["date", "province"])
 
@@ -308,16 +317,27 @@ def ad_click_sliding(s, d):
     return _plain(clicks.clicks_sliding(b.ad_clicks(s, d)))
 
 
-def _run_flow(s, d) -> AdTables:
-    """The blacklist stream over all events, to its end."""
+def _run_stream(s, d, start) -> AdTables:
+    """A stream over all events as they arrive in four parts, restarted after each.
+
+    Epochs of two batches let the tables fold and clear on the way.
+    """
     folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
-    tables = AdTables.below(f"{folder}/tables")
-    streams.start_ad_flow(
-        b.ad_line_stream(s, d), tables, f"{folder}/checkpoint", THRESHOLD, interval=None
-    ).awaitTermination()
+    tables = AdTables.below(f"{folder}/tables", compact_every=2)
+    for part in b.ad_line_parts(s, d):
+        part.write.mode("append").text(f"{folder}/lines")
+        lines = readers.file_lines(s, f"{folder}/lines")
+        start(lines, tables, f"{folder}/checkpoint").awaitTermination()
     return tables
 
 
+def _run_flow(s, d) -> AdTables:
+    """The blacklist stream: who is listed by one part is dropped from the next."""
+    return _run_stream(
+        s, d, lambda lines, tables, at: streams.start_ad_flow(lines, tables, at, THRESHOLD, None)
+    )
+
+
 def stream_ad_blacklist(s, d):
     return _run_flow(s, d).blacklist.current(s)
 
@@ -330,22 +350,32 @@ def stream_ad_province_top3(s, d):
     return _run_flow(s, d).province_top.current(s)
 
 
+def stream_ad_line_counts(s, d):
+    return _run_stream(
+        s, d, lambda lines, tables, at: streams.start_ad_trend(lines, tables, at, None)
+    ).line_counts.current(s)
+
+
 def stream_ad_stat(s, d):
-    folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
-    table = streams.stat_table(f"{folder}/tables")
-    streams.start_ad_stat(
-        b.ad_line_stream(s, d), table, f"{folder}/checkpoint", interval=None
-    ).awaitTermination()
-    return table.current(s)
+    return _run_stream(
+        s, d, lambda lines, tables, at: streams.start_ad_stat(lines, tables, at, None)
+    ).stats.current(s)
 
 
 def stream_ad_click_trend(s, d):
-    folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
-    tables = AdTables.below(f"{folder}/tables")
-    streams.start_ad_trend(
-        b.ad_line_stream(s, d), tables, f"{folder}/checkpoint", interval=None
-    ).awaitTermination()
-    return tables.trend.current(s)
+    return _run_stream(
+        s, d, lambda lines, tables, at: streams.start_ad_trend(lines, tables, at, None)
+    ).trend.current(s)
+
+
+def stream_ad_click_sliding(s, d):
+    """Windows of 60 minutes every 10 minutes, from steps."""
+    tables = _run_stream(
+        s,
+        d,
+        lambda lines, tables, at: streams.start_ad_sliding(lines, tables, at, 3600, 600, None),
+    )
+    return _plain(streams.sliding_windows(tables.steps.current(s), 3600, 600))
 
 
 def date_diff_features(s, d):
@@ -374,14 +404,14 @@ def _order_days(s, d):
 
 
 def calendar_spine(s, d):
-    """Urgent orders per day, days without one as 0."""
+    """Orders of each priority per day, days without one as 0."""
+    metrics = {f"orders_{p[0]}": F.count_if(F.col("o_orderpriority") == p) for p in PRIORITIES}
     daily = (
         b.table(s, d, "orders")
-        .where(F.col("o_orderpriority") == "1-URGENT")
         .groupBy(F.to_date("o_orderdate").alias("date"))
-        .agg(F.count(F.lit(1)).alias("orders"))
+        .agg(*[column.alias(name) for name, column in metrics.items()])
     )
-    return calendar.calendar_spine(daily, "date", ["orders"])
+    return calendar.calendar_spine(daily, "date", list(metrics))
 
 
 def week_calendar(s, d):
@@ -470,6 +500,7 @@ QUERIES = {
     "session_sample_quota": session_sample_quota,
     "session_random_sample": session_random_sample,
     "session_detail": session_detail,
+    "session_sample_job": session_sample_job,
     "filtered_actions": filtered_actions,
     "category_click_counts": category_click_counts,
     "category_order_counts": category_order_counts,
@@ -507,6 +538,8 @@ QUERIES = {
     "stream_ad_province_top3": stream_ad_province_top3,
     "stream_ad_stat": stream_ad_stat,
     "stream_ad_click_trend": stream_ad_click_trend,
+    "stream_ad_click_sliding": stream_ad_click_sliding,
+    "stream_ad_line_counts": stream_ad_line_counts,
     "date_diff_features": date_diff_features,
     "date_part_features": date_part_features,
     "calendar_spine": calendar_spine,

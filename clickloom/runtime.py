@@ -1,15 +1,10 @@
-"""Session settings, checkpoint folder and broadcast bounds."""
+"""Session settings, the shared folder, and tables kept there."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast by hint only when its row count is bounded by an
-# argument known before the job runs, and that bound is at most this.
-BROADCAST_MAX_ROWS = 200_000
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,23 +29,32 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables, the same for every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master,
-    as in tests, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; where that is not set, it lies
+    beside the tables, in the warehouse.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if named:
-        return named
+        return named.rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="clickloom-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again; runs at once.
+
+    For a table that several others are made of: it is computed once, and lost
+    executors cost none of it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,11 +63,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast when ``max_rows`` proves the side small.
-
-    Above the bound the plain DataFrame is returned and Spark picks the join.
-    """
-    return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df

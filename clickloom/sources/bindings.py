@@ -126,14 +126,11 @@ def ad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(spark, sf_dir, table(spark, sf_dir, "events"))
 
 
-def ad_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lines as a stream."""
-    events = (
-        spark.readStream.schema(table(spark, sf_dir, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    return lines_of(spark, sf_dir, events)
+def ad_line_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The same lines in the order they arrive in: four parts by the hour of day, all days in each."""
+    events = table(spark, sf_dir, "events")
+    quarter = F.floor(F.hour("ts") / 6)
+    return [lines_of(spark, sf_dir, events.where(quarter == n)) for n in range(4)]
 
 
 def lines_of(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:

@@ -43,9 +43,6 @@ USER = _schema(
 )
 PRODUCT = _schema("product_id:bigint product_name:string extend_info:string")
 CITY = _schema("city_id:bigint city_name:string area:string")
-AD_CLICK = _schema(
-    "ts:timestamp date:date province:string city:string userid:bigint adid:bigint"
-)
 
 ID_LISTS = ("order_category_ids", "order_product_ids", "pay_category_ids", "pay_product_ids")
 CLICK_IDS = ("click_category_id", "click_product_id")

@@ -20,6 +20,10 @@ def read_products(spark: SparkSession, table: str = "product_info") -> DataFrame
     return spark.table(table).select(*model.PRODUCT.names)
 
 
+def read_cities(spark: SparkSession, table: str = "city_info") -> DataFrame:
+    return spark.table(table).select(*model.CITY.names)
+
+
 def kafka_lines(
     spark: SparkSession,
     servers: str,

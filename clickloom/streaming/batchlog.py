@@ -1,26 +1,47 @@
 """Result tables that a replayed micro-batch cannot change twice.
 
-Each micro-batch overwrites its own folder ``log/batch_id=N``, so running a
-batch again gives the same table. What the rows mean together (sum, latest
-value, latest group, distinct) is an aggregation applied when reading. From
-time to time the read result is saved as ``base/upto=M``, and reading starts
-from there.
+Each micro-batch overwrites its own folder, so running a batch again gives the
+same table. What the rows mean together (sum, latest value, latest group,
+distinct) is an aggregation applied when reading.
+
+Batches are kept in epochs of ``compact_every``. The first batch of an epoch
+folds the epoch before it into a base, date by date, and only for dates that
+epoch holds; other dates keep the base they have. A small index tells the epoch
+of every date's base::
+
+    log/epoch=E/batch_id=N/date=D   rows of a batch
+    base/epoch=E/date=D             rows of a date, folded up to the end of epoch E
+    index/epoch=E                   (date, base_epoch) after that
+    finished/epoch=E                the last complete batch of the epoch, written last
+
+A batch reads the log of its own epoch (or the one before) and the base of the
+dates it asks for, so its cost does not grow with history. Batch numbers follow
+each other without a gap, as a stream gives them.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Fold = Callable[[DataFrame], DataFrame]
+Dates = tuple[datetime.date, datetime.date]
 
+_NUMBERS = [T.StructField("epoch", T.LongType()), T.StructField("batch_id", T.LongType())]
+_INDEX = T.StructType(
+    [T.StructField("date", T.DateType()), T.StructField("base_epoch", T.LongType())]
+)
 
-def summed(keys: tuple[str, ...], value: str) -> Fold:
-    """Every batch adds to the value of its keys."""
-    return lambda rows: rows.groupBy(*keys).agg(F.sum(value).alias(value))
+
+def summed(keys: tuple[str, ...], value: str | tuple[str, ...]) -> Fold:
+    """Every batch adds to the values of its keys."""
+    values = (value,) if isinstance(value, str) else value
+    return lambda rows: rows.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def latest(keys: tuple[str, ...], value: str) -> Fold:
@@ -43,99 +64,174 @@ def latest_groups(group: tuple[str, ...]) -> Fold:
 
 
 class BatchLog:
-    """One such table below ``path``."""
+    """One such table below ``path``; ``dated`` tables have a ``date`` column.
+
+    ``compact_every`` names folders, so it stays the same over a table's life.
+    """
 
     def __init__(
-        self, path: str, schema: T.StructType, fold: Fold, partition_by: tuple[str, ...] = ()
+        self,
+        path: str,
+        schema: T.StructType,
+        fold: Fold,
+        dated: bool = False,
+        compact_every: int = 100,
     ):
         self.path = path.rstrip("/")
         self.schema = schema
         self.fold = fold
-        self.partition_by = partition_by
+        self.dated = dated
+        self.compact_every = compact_every
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        """Store the rows of one batch, in place of an earlier try."""
-        out = rows.select(*self.schema.names)
-        out.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
+        """Store the rows of one batch, in place of an earlier try.
 
-    def current(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        The first batch of an epoch also folds the epoch before into the base. The
+        table as it was before this batch is not touched by that.
+        """
+        spark = rows.sparkSession
+        epoch = batch_id // self.compact_every
+        own = f"epoch={epoch}/batch_id={batch_id}"
+        self._save(rows.select(*self.schema.names), f"log/{own}")
+        if batch_id % self.compact_every == 0 and epoch > 0:
+            self._compact(spark, epoch - 1)
+        last = spark.range(batch_id, batch_id + 1).withColumnRenamed("id", "batch_id")
+        last.write.mode("overwrite").parquet(f"{self.path}/finished/epoch={epoch}")
+
+    def current(
+        self, spark: SparkSession, before: int | None = None, dates: Dates | None = None
+    ) -> DataFrame:
         """The table after all finished batches, or after those before one batch."""
-        return self.fold(self.rows(spark, before))
-
-    def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """Stored rows with their ``batch_id``, not yet folded."""
-        start = self._base(spark, before)
-        batches = [
-            n
-            for n in self._finished(spark, "log", "batch_id")
-            if n > start and (before is None or n < before)
+        return self.fold(self.rows(spark, before, dates))
+
+    def rows(
+        self, spark: SparkSession, before: int | None = None, dates: Dates | None = None
+    ) -> DataFrame:
+        """Stored rows with their ``batch_id``, not yet folded.
+
+        ``dates`` limits a dated table to a range, first and last included: only the
+        folders of these dates are read. In a stream all batches before the one at work are finished;
+        without ``before`` the list of finished batches tells where to stop.
+        """
+        if before is None:
+            before = self._next(spark)
+        if before <= 0:
+            return self._empty(spark)
+        # the batch that starts an epoch still reads the epoch before as log
+        base_epoch = (before - 1) // self.compact_every - 1
+        parts = [
+            self._log(spark, epoch)
+            for epoch in range(base_epoch + 1, (before - 1) // self.compact_every + 1)
         ]
-        parts = []
-        if start >= 0:
-            base = self._read(spark, [f"{self.path}/base/upto={start}"], self.schema)
-            parts.append(base.withColumn("batch_id", F.lit(start).cast("bigint")))
-        if batches:
-            folder = f"{self.path}/log"
-            schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
-            paths = [f"{folder}/batch_id={n}" for n in batches]
-            parts.append(self._read(spark, paths, schema, folder))
+        parts = [p.where(F.col("batch_id") < before) for p in parts if p is not None]
+        if base_epoch >= 0:
+            parts += self._base(spark, base_epoch, dates)
         if not parts:
-            empty = spark.createDataFrame([], self.schema)
-            return empty.withColumn("batch_id", F.lit(-1).cast("bigint"))
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            return self._empty(spark)
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows if dates is None else rows.where(F.col("date").between(*map(F.lit, dates)))
+
+    def _next(self, spark: SparkSession) -> int:
+        """The number after the last finished batch."""
+        found = self._read(spark, "finished", T.StructType(_NUMBERS[::-1]))
+        last = None if found is None else found.agg(F.max("batch_id")).first()[0]
+        return -1 if last is None else last + 1
+
+    def _empty(self, spark: SparkSession) -> DataFrame:
+        rows = spark.createDataFrame([], self.schema)
+        return rows.withColumn("batch_id", F.lit(-1).cast("bigint"))
+
+    def _save(self, rows: DataFrame, folder: str) -> None:
+        writer = rows.write.mode("overwrite")
+        if self.dated:
+            writer = writer.partitionBy("date")
+        writer.parquet(f"{self.path}/{folder}")
+
+    def _read(
+        self, spark: SparkSession, kind: str, schema: T.StructType, *folders: str
+    ) -> DataFrame | None:
+        """Rows of some folders with the values in the folders' names; None if there are none."""
+        root = f"{self.path}/{kind}"
+        paths = [f"{root}/{folder}" for folder in folders] or [root]
+        try:
+            return spark.read.schema(schema).option("basePath", root).parquet(*paths)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _log(self, spark: SparkSession, epoch: int) -> DataFrame | None:
+        schema = T.StructType([*self.schema.fields, *_NUMBERS])
+        found = self._read(spark, "log", schema, f"epoch={epoch}")
+        return None if found is None else found.drop("epoch")
+
+    def _index(self, spark: SparkSession, epoch: int) -> DataFrame:
+        found = self._read(spark, "index", _INDEX, f"epoch={epoch}") if epoch >= 0 else None
+        empty = spark.createDataFrame([], _INDEX)
+        return empty if found is None else found.select(*_INDEX.names)
+
+    def _base(self, spark: SparkSession, epoch: int, dates: Dates | None) -> list[DataFrame]:
+        """The folded rows up to the end of an epoch, with the number of its last batch."""
+        if self.dated:
+            index = self._index(spark, epoch)
+            if dates is not None:
+                index = index.where(F.col("date").between(*map(F.lit, dates)))
+            # one row per date asked for
+            folders = [f"epoch={r.base_epoch}/date={r.date}" for r in index.collect()]
+        else:
+            folders = [f"epoch={epoch}"]
+        if not folders:
+            return []
+        schema = T.StructType([*self.schema.fields, _NUMBERS[0]])
+        found = self._read(spark, "base", schema, *folders)
+        if found is None:
+            return []
+        last = F.lit((epoch + 1) * self.compact_every - 1).cast("bigint")
+        return [found.drop("epoch").withColumn("batch_id", last)]
 
-    def compact(self, spark: SparkSession, before: int) -> None:
-        """Save the table as it was before a batch, and drop what that makes needless.
+    def _compact(self, spark: SparkSession, epoch: int) -> None:
+        """Fold an epoch's log into the base of the dates it holds.
 
-        Called while handling batch ``before``, which may be tried again: its
-        own folder is not part of what is saved. The folders behind the
-        previous base go; those since stay, for readers still at work.
+        Called by the first batch of the next epoch, which may be tried again: what it
+        reads stays. The log of the epoch before that one, and bases replaced by then,
+        are emptied; nobody reads them any more.
         """
-        previous = self._base(spark, before)
-        upto = before - 1
-        if upto <= previous:
-            return
-        writer = self.current(spark, before).write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.path}/base/upto={upto}")
-        for n in self._finished(spark, "log", "batch_id"):
-            if n <= previous:
-                self._delete(spark, f"{self.path}/log/batch_id={n}")
-        for n in self._finished(spark, "base", "upto"):
-            if n < previous:
-                self._delete(spark, f"{self.path}/base/upto={n}")
-
-    def _base(self, spark: SparkSession, before: int | None) -> int:
-        bases = self._finished(spark, "base", "upto")
-        return max((n for n in bases if before is None or n < before), default=-1)
-
-    @staticmethod
-    def _read(spark, paths: list[str], schema: T.StructType, root: str | None = None):
-        reader = spark.read.schema(schema)
-        if root:
-            reader = reader.option("basePath", root)
-        return reader.parquet(*paths)
-
-    @staticmethod
-    def _folder(spark: SparkSession, path: str):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _finished(self, spark: SparkSession, kind: str, key: str) -> list[int]:
-        """Numbers of the ``key=N`` folders whose write was committed."""
-        folder, fs = self._folder(spark, f"{self.path}/{kind}")
-        if not fs.exists(folder):
-            return []
-        prefix = f"{key}="
-        marker = spark._jvm.org.apache.hadoop.fs.Path
-        found = []
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith(prefix) and fs.exists(marker(status.getPath(), "_SUCCESS")):
-                found.append(int(name[len(prefix) :]))
-        return sorted(found)
-
-    def _delete(self, spark: SparkSession, path: str) -> None:
-        folder, fs = self._folder(spark, path)
-        fs.delete(folder, True)
+        log = self._log(spark, epoch)
+        if not self.dated:
+            rows = self._base(spark, epoch - 1, None) if epoch else []
+            rows += [] if log is None else [log]
+            if not rows:
+                return
+            both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+            self._save(self.fold(both), f"base/epoch={epoch}")
+            if epoch > 1:
+                self._clear(spark, f"base/epoch={epoch - 2}")
+        else:
+            old = self._index(spark, epoch - 1)
+            span = None if log is None else log.agg(F.min("date"), F.max("date")).first()
+            if span is not None and span[0] is not None:
+                held = log.select("date").distinct()
+                rows = log
+                for base in self._base(spark, epoch - 1, tuple(span)) if epoch else []:
+                    rows = rows.unionByName(base.join(held, "date", "left_semi"))
+                self._save(self.fold(rows), f"base/epoch={epoch}")
+                kept = old.join(held, "date", "left_anti")
+                new = held.withColumn("base_epoch", F.lit(epoch).cast("bigint"))
+                index = kept.unionByName(new)
+            else:
+                index = old
+            index.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/epoch={epoch}")
+            # what the index before last names and the last one does not is read no more
+            gone = self._index(spark, epoch - 2).join(old, ["date", "base_epoch"], "left_anti")
+            for r in gone.collect():
+                self._clear(spark, f"base/epoch={r.base_epoch}/date={r.date}")
+        if epoch > 0:
+            self._clear(spark, f"log/epoch={epoch - 1}")
+
+    def _clear(self, spark: SparkSession, folder: str) -> None:
+        """Empty a folder: an empty table is written over it."""
+        spark.createDataFrame([], "batch_id long").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.path}/{folder}"
+        )

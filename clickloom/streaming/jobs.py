@@ -1,20 +1,28 @@
-"""The ad-click streams: blacklist with running counts, and click trend."""
+"""The ad-click streams: blacklist with running counts, click trend, sliding windows.
+
+Every job counts a micro-batch's clicks and adds the counts to a result table, so
+no click is late: there is no watermark and nothing is dropped. Lines that do not
+parse are counted per batch in ``line_counts``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from math import gcd
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from clickloom.operators import clicks as ops
 from clickloom.operators import keyed
-from clickloom.streaming import batchlog
 from clickloom.streaming.batchlog import BatchLog
-from clickloom.streaming.tables import AdTables
+from clickloom.streaming.tables import STEP_KEYS, AdTables
 
 THRESHOLD = 100
 INTERVAL = "5 seconds"
+# The trend counts the last hour, every ten seconds.
+WINDOW_SECONDS, SLIDE_SECONDS = 3600, 10
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> StreamingQuery:
@@ -30,49 +38,66 @@ def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> S
     return writer.trigger(processingTime=interval).start()
 
 
+def _each_batch(
+    lines: DataFrame, tables: AdTables, handle: Callable[[DataFrame, int], None]
+) -> DataStreamWriter:
+    """Parse each micro-batch once, handle its clicks, and note how many lines it had."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        counts = Observation()
+        clicks = ops.parse_ad_lines(batch, counts).persist()
+        try:
+            clicks.count()
+            handle(clicks, batch_id)
+        finally:
+            clicks.unpersist()
+        seen = [(counts.get["lines"], counts.get["malformed"])]
+        rows = batch.sparkSession.createDataFrame(seen, tables.line_counts.schema)
+        tables.line_counts.write(rows, batch_id)
+
+    return lines.writeStream.foreachBatch(run)
+
+
 def apply_ad_batch(
-    batch: DataFrame,
-    batch_id: int,
-    tables: AdTables,
-    threshold: int = THRESHOLD,
-    k: int = 3,
-    compact_every: int = 100,
+    batch: DataFrame, batch_id: int, tables: AdTables, threshold: int = THRESHOLD, k: int = 3
 ) -> None:
     """Everything one micro-batch of clicks changes.
 
     Drop clicks of blacklisted users, count the rest per user and ad, blacklist
     who has reached the threshold, count per city and ad, and rank the
     provinces that were touched. The tables are read as they were before this
-    batch, so trying the batch again has the same effect.
+    batch, so trying the batch again has the same effect. Of dated tables only the
+    batch's dates are read.
     """
     spark = batch.sparkSession
     blacklist = tables.blacklist.current(spark, before=batch_id)
     kept = ops.blacklist_filter(batch, blacklist).persist()
     try:
         by_user = ops.ad_user_click_counts(kept).persist()
-        tables.user_clicks.write(by_user, batch_id)
         totals = _touched_totals(tables.user_clicks, by_user, batch_id, ops.USER_AD_KEYS)
         reached = ops.blacklist_users(ops.blacklist_candidates(totals, threshold))
         tables.blacklist.write(keyed.only_new(blacklist, reached, ["userid"]), batch_id)
+        tables.user_clicks.write(by_user, batch_id)
         by_user.unpersist()
 
         by_city = ops.running_click_counts(kept).persist()
-        tables.stats.write(by_city, batch_id)
         totals = _touched_totals(tables.stats, by_city, batch_id, ("date", "province"))
         top = ops.province_top_ads(ops.province_counts(totals), k)
         tables.province_top.write(top, batch_id)
+        tables.stats.write(by_city, batch_id)
         by_city.unpersist()
     finally:
         kept.unpersist()
-    if compact_every and batch_id and batch_id % compact_every == 0:
-        for table in (tables.blacklist, tables.user_clicks, tables.stats, tables.province_top):
-            table.compact(spark, before=batch_id)
 
 
 def _touched_totals(log: BatchLog, new: DataFrame, batch_id: int, touched: tuple) -> DataFrame:
     """Totals of the keys, or groups of keys, that the new counts touch."""
+    span = new.agg(F.min("date"), F.max("date")).first()
+    if span[0] is None:
+        return new
     keys = new.select(*touched).distinct()
-    stored = log.rows(new.sparkSession, before=batch_id).join(keys, list(touched), "left_semi")
+    stored = log.rows(new.sparkSession, before=batch_id, dates=tuple(span))
+    stored = stored.join(keys, list(touched), "left_semi")
     return log.fold(stored.drop("batch_id").unionByName(new))
 
 
@@ -83,140 +108,64 @@ def start_ad_flow(
     threshold: int = THRESHOLD,
     interval: str | None = INTERVAL,
     k: int = 3,
-    compact_every: int = 100,
 ) -> StreamingQuery:
     """Blacklist, running counts and province ranking over a stream of log lines."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        apply_ad_batch(batch, batch_id, tables, threshold, k, compact_every)
-
-    writer = ops.parse_ad_lines(lines).writeStream.foreachBatch(handle)
-    return _start(writer, checkpoint, interval)
-
+    def handle(clicks: DataFrame, batch_id: int) -> None:
+        apply_ad_batch(clicks, batch_id, tables, threshold, k)
 
-def _upsert_into(table: BatchLog, compact_every: int):
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        table.write(batch, batch_id)
-        if compact_every and batch_id and batch_id % compact_every == 0:
-            table.compact(batch.sparkSession, before=batch_id)
-
-    return handle
+    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
 def start_ad_trend(
-    lines: DataFrame,
-    tables: AdTables,
-    checkpoint: str,
-    interval: str | None = "10 seconds",
-    watermark: str = "60 minutes",
-    compact_every: int = 100,
+    lines: DataFrame, tables: AdTables, checkpoint: str, interval: str | None = "10 seconds"
 ) -> StreamingQuery:
-    """Clicks per minute and ad.
+    """Clicks per minute and ad, by event time."""
 
-    Counts live in the query's state and only changed minutes are written. A
-    minute is closed once the watermark has passed it; later clicks are dropped.
-    """
-    clicks = ops.parse_ad_lines(lines).withWatermark("ts", watermark)
-    writer = (
-        ops.clicks_per_minute(clicks)
-        .writeStream.outputMode("update")
-        .foreachBatch(_upsert_into(tables.trend, compact_every))
-    )
-    return _start(writer, checkpoint, interval)
+    def handle(clicks: DataFrame, batch_id: int) -> None:
+        tables.trend.write(ops.clicks_per_minute(clicks), batch_id)
 
+    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
 
-def running_counts_by_day(clicks: DataFrame) -> DataFrame:
-    """Clicks per date, province, city and ad of a stream with a watermark.
 
-    Grouping by a day-long window lets the watermark drop the state of past
-    days. Windows start at midnight UTC, so the session must be on UTC.
-    """
-    zone = clicks.sparkSession.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
-        raise ValueError("day windows need spark.sql.session.timeZone=UTC")
-    day = F.window("ts", "1 day")
-    return (
-        clicks.groupBy(day, "province", "city", "adid")
-        .agg(F.count(F.lit(1)).alias("click_count"))
-        .select(
-            F.to_date("window.start").alias("date"), "province", "city", "adid", "click_count"
-        )
-    )
+def start_ad_stat(
+    lines: DataFrame, tables: AdTables, checkpoint: str, interval: str | None = INTERVAL
+) -> StreamingQuery:
+    """Running counts alone, without the blacklist. Days are those of the session's time zone."""
 
+    def handle(clicks: DataFrame, batch_id: int) -> None:
+        tables.stats.write(ops.running_click_counts(clicks), batch_id)
 
-def stat_table(path: str) -> BatchLog:
-    """A table for ``start_ad_stat``: each batch sets the totals it holds."""
-    template = AdTables.below(path).stats
-    fold = batchlog.latest(ops.STAT_KEYS, "click_count")
-    return BatchLog(template.path, template.schema, fold, template.partition_by)
+    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
-def start_ad_stat(
+def start_ad_sliding(
     lines: DataFrame,
-    table: BatchLog,
+    tables: AdTables,
     checkpoint: str,
-    interval: str | None = INTERVAL,
-    watermark: str = "2 days",
-    compact_every: int = 100,
+    length_seconds: int = WINDOW_SECONDS,
+    slide_seconds: int = SLIDE_SECONDS,
+    interval: str | None = "10 seconds",
 ) -> StreamingQuery:
-    """Running counts alone, kept in the query's state, without the blacklist."""
-    clicks = ops.parse_ad_lines(lines).withWatermark("ts", watermark)
-    writer = (
-        running_counts_by_day(clicks)
-        .writeStream.outputMode("update")
-        .foreachBatch(_upsert_into(table, compact_every))
-    )
-    return _start(writer, checkpoint, interval)
+    """Clicks per ad in sliding windows by event time, kept as counts per step.
 
-
-def sliding_counts(clicks: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
-    """Clicks per ad in every sliding window, of a stream with a watermark.
-
-    A stream in update mode takes one aggregation only, so here each click is
-    copied into its ``length / slide`` windows; keep that number small.
+    A step is the largest on which all window edges fall; ``sliding_windows`` forms the
+    windows when the table is read.
     """
-    window = F.window("ts", f"{length_seconds} seconds", f"{slide_seconds} seconds")
-    return (
-        clicks.groupBy(window, "adid")
-        .agg(F.count(F.lit(1)).alias("click_count"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "adid",
-            "click_count",
-        )
-    )
+    step = gcd(length_seconds, slide_seconds)
 
+    def handle(clicks: DataFrame, batch_id: int) -> None:
+        steps = ops.clicks_per_step(clicks, step)
+        dated = steps.select(
+            F.to_date("step_start").alias("date"), "step_start", "adid", "click_count"
+        )
+        tables.steps.write(dated.select(*STEP_KEYS, "click_count"), batch_id)
 
-def sliding_table(path: str) -> BatchLog:
-    """A table for ``start_ad_sliding``."""
-    keys = ("window_start", "window_end", "adid")
-    schema = T.StructType(
-        [
-            T.StructField("window_start", T.TimestampType()),
-            T.StructField("window_end", T.TimestampType()),
-            T.StructField("adid", T.LongType()),
-            T.StructField("click_count", T.LongType()),
-        ]
-    )
-    return BatchLog(f"{path}/ad_click_sliding", schema, batchlog.latest(keys, "click_count"))
+    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
-def start_ad_sliding(
-    lines: DataFrame,
-    table: BatchLog,
-    checkpoint: str,
-    length_seconds: int = 3600,
-    slide_seconds: int = 600,
-    interval: str | None = "10 seconds",
-    watermark: str = "60 minutes",
-    compact_every: int = 100,
-) -> StreamingQuery:
-    """Clicks per ad in sliding windows by event time."""
-    clicks = ops.parse_ad_lines(lines).withWatermark("ts", watermark)
-    writer = (
-        sliding_counts(clicks, length_seconds, slide_seconds)
-        .writeStream.outputMode("update")
-        .foreachBatch(_upsert_into(table, compact_every))
-    )
-    return _start(writer, checkpoint, interval)
+def sliding_windows(
+    steps: DataFrame, length_seconds: int = WINDOW_SECONDS, slide_seconds: int = SLIDE_SECONDS
+) -> DataFrame:
+    """Windows of the stored step counts; limit the steps first to see recent windows only."""
+    return ops.windows_of_steps(steps, length_seconds, slide_seconds)

@@ -16,10 +16,14 @@ _TYPES = {
     "city": T.StringType(),
     "hour": T.StringType(),
     "minute": T.StringType(),
+    "step_start": T.TimestampType(),
     "userid": T.LongType(),
     "adid": T.LongType(),
     "click_count": T.LongType(),
+    "lines": T.LongType(),
+    "malformed": T.LongType(),
 }
+STEP_KEYS = ("date", "step_start", "adid")
 
 
 def _schema(*names: str) -> T.StructType:
@@ -28,32 +32,39 @@ def _schema(*names: str) -> T.StructType:
 
 @dataclass(frozen=True)
 class AdTables:
-    """Where each table is kept and how its batches combine."""
+    """Where each table is kept and how its batches combine.
+
+    ``line_counts`` holds the lines and malformed lines that each batch read.
+    """
 
     blacklist: BatchLog
     user_clicks: BatchLog
     stats: BatchLog
     province_top: BatchLog
     trend: BatchLog
+    steps: BatchLog
+    line_counts: BatchLog
 
     @classmethod
-    def below(cls, path: str) -> AdTables:
+    def below(cls, path: str, compact_every: int = 100) -> AdTables:
         def log(name, keys, fold, value=("click_count",)):
-            by_date = ("date",) if "date" in keys else ()
-            return BatchLog(f"{path}/{name}", _schema(*keys, *value), fold, by_date)
+            return BatchLog(
+                f"{path}/{name}", _schema(*keys, *value), fold, "date" in keys, compact_every
+            )
+
+        def counts(name, keys):
+            return log(name, keys, batchlog.summed(keys, "click_count"))
 
         return cls(
             log("ad_blacklist", ("userid",), batchlog.distinct(("userid",)), ()),
-            log(
-                "ad_user_click_count",
-                ops.USER_AD_KEYS,
-                batchlog.summed(ops.USER_AD_KEYS, "click_count"),
-            ),
-            log("ad_stat", ops.STAT_KEYS, batchlog.summed(ops.STAT_KEYS, "click_count")),
+            counts("ad_user_click_count", ops.USER_AD_KEYS),
+            counts("ad_stat", ops.STAT_KEYS),
             log(
                 "ad_province_top3",
                 ops.PROVINCE_KEYS,
                 batchlog.latest_groups(("date", "province")),
             ),
-            log("ad_click_trend", ops.TREND_KEYS, batchlog.latest(ops.TREND_KEYS, "click_count")),
+            counts("ad_click_trend", ops.TREND_KEYS),
+            counts("ad_click_steps", STEP_KEYS),
+            log("ad_line_counts", (), batchlog.summed((), ("lines", "malformed")), ("lines", "malformed")),
         )

@@ -68,7 +68,7 @@ def test_session_counts_are_true_counts(actions):
 
 def test_top_sessions_sort_as_numbers_with_ties(actions):
     top = categories.top_categories(categories.category_funnel(actions), 1)
-    best = categories.top_sessions(actions, top, max_categories=1, k=2)
+    best = categories.top_sessions(actions, top, k=2)
     assert sorted(tuple(r) for r in best.collect()) == [(5, "a", 10), (5, "b", 9)]
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from clickloom.operators import calendar, clicks, keyed, textjobs
-from clickloom.sources import model
 
 START = datetime(2024, 1, 5, 10, 0, 0)
 
@@ -42,7 +41,10 @@ def test_observed_line_counts(spark):
 def make_clicks(spark):
     def make(*rows):
         full = [(t, t.date(), p, c, u, a) for t, p, c, u, a in rows]
-        return spark.createDataFrame(full, model.AD_CLICK)
+        return spark.createDataFrame(
+            full,
+            "ts timestamp, date date, province string, city string, userid bigint, adid bigint",
+        )
 
     return make
 

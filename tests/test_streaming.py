@@ -1,9 +1,10 @@
-from collections import Counter
+import os
+import re
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
+from conftest import physical_plan
 
 from clickloom.operators import clicks as ops
 from clickloom.sources import readers
@@ -22,29 +23,27 @@ def _line(seconds, province="p", city="c", user=1, ad=1):
 class Folder:
     """Input folder, tables and checkpoint of one stream."""
 
-    def __init__(self, spark, path: Path):
+    def __init__(self, spark, path: Path, compact_every=100):
         self.spark, self.path, self.files = spark, path, 0
-        (path / "in").mkdir()
-        self.tables = AdTables.below(str(path / "tables"))
+        (path / "in").mkdir(exist_ok=True)
+        self.tables = AdTables.below(str(path / "tables"), compact_every)
         self.checkpoint = str(path / "checkpoint")
 
     def drop(self, *lines):
-        (self.path / "in" / f"{self.files:04d}.txt").write_text("\n".join(lines) + "\n")
+        """One more file, a second younger than the one before: files are read in this order."""
+        file = self.path / "in" / f"{self.files:04d}.txt"
+        file.write_text("\n".join(lines) + "\n")
+        os.utime(file, (1_700_000_000 + self.files,) * 2)
         self.files += 1
 
     def lines(self):
         return readers.file_lines(self.spark, str(self.path / "in"), max_files_per_trigger=1)
 
-    def flow(self, **options):
-        query = jobs.start_ad_flow(
-            self.lines(), self.tables, self.checkpoint, interval=None, **options
-        )
-        query.awaitTermination()
+    def run(self, job, **options):
+        job(self.lines(), self.tables, self.checkpoint, interval=None, **options).awaitTermination()
 
-    def trend(self, **options):
-        jobs.start_ad_trend(
-            self.lines(), self.tables, self.checkpoint, interval=None, **options
-        ).awaitTermination()
+    def flow(self, **options):
+        self.run(jobs.start_ad_flow, **options)
 
     def rows(self, table):
         return {tuple(r) for r in getattr(self.tables, table).current(self.spark).collect()}
@@ -55,6 +54,10 @@ def folder(spark, tmp_path):
     return Folder(spark, tmp_path)
 
 
+def _parsed(spark, lines):
+    return ops.parse_ad_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+
 def test_blacklist_feeds_back_from_batch_to_batch(folder):
     folder.drop(*[_line(i, user=1) for i in range(3)], _line(3, user=2), "not a line")
     folder.flow(threshold=4)
@@ -68,9 +71,11 @@ def test_blacklist_feeds_back_from_batch_to_batch(folder):
     assert folder.rows("user_clicks") == {(day, 1, 1, 5), (day, 2, 1, 3)}
     assert folder.rows("stats") == {(day, "p", "c", 1, 8)}
     assert folder.rows("province_top") == {(day, "p", 1, 8)}
+    assert folder.rows("line_counts") == {(14, 1)}
 
 
-def test_stream_equals_batch_over_restarts_and_compaction(folder, spark):
+def test_stream_equals_batch_over_restarts_and_compaction(spark, tmp_path):
+    folder = Folder(spark, tmp_path, compact_every=2)
     all_lines = []
     for f in range(7):
         lines = [
@@ -80,10 +85,10 @@ def test_stream_equals_batch_over_restarts_and_compaction(folder, spark):
         all_lines += lines
         folder.drop(*lines)
         if f % 2:
-            folder.flow(threshold=10**6, compact_every=2)
-    folder.flow(threshold=10**6, compact_every=2)
+            folder.flow(threshold=10**6)
+    folder.flow(threshold=10**6)
     assert list((folder.path / "tables" / "ad_stat" / "base").iterdir())
-    batch = ops.parse_ad_lines(spark.createDataFrame([(x,) for x in all_lines], "value string"))
+    batch = _parsed(spark, all_lines)
     stats = ops.running_click_counts(batch)
     assert folder.rows("stats") == {tuple(r) for r in stats.collect()}
     assert folder.rows("user_clicks") == {
@@ -93,123 +98,162 @@ def test_stream_equals_batch_over_restarts_and_compaction(folder, spark):
     assert folder.rows("province_top") == {tuple(r) for r in top.collect()}
 
 
-def test_replayed_batch_changes_nothing(folder, spark):
-    def batch(*lines):
-        return ops.parse_ad_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    folder = Folder(spark, tmp_path, compact_every=2)
 
     def snapshot():
         names = ("blacklist", "user_clicks", "stats", "province_top")
         return [folder.rows(n) for n in names]
 
-    for n in range(5):
-        lines = batch(*[_line(i, user=n % 2, ad=i % 2) for i in range(4)])
-        jobs.apply_ad_batch(lines, n, folder.tables, threshold=4, compact_every=2)
+    seen = []
+    for n in range(7):
+        lines = [_line(i + 86400 * (n // 3), user=n % 2, ad=i % 2) for i in range(4)]
+        seen += lines
+        jobs.apply_ad_batch(_parsed(spark, lines), n, folder.tables, threshold=100)
         once = snapshot()
-        jobs.apply_ad_batch(lines, n, folder.tables, threshold=4, compact_every=2)
+        jobs.apply_ad_batch(_parsed(spark, lines), n, folder.tables, threshold=100)
         assert snapshot() == once
-    assert folder.rows("blacklist") == {(0,), (1,)}
+    batch = _parsed(spark, seen)
+    assert once[1] == {tuple(r) for r in ops.ad_user_click_counts(batch).collect()}
+    assert once[2] == {tuple(r) for r in ops.running_click_counts(batch).collect()}
 
 
 def test_unfinished_batch_is_not_read(folder, spark):
     rows = spark.createDataFrame([(1,), (2,)], "userid long")
-    folder.tables.blacklist.write(rows, 0)
-    folder.tables.blacklist.write(rows.where("userid = 1"), 1)
-    log = folder.path / "tables" / "ad_blacklist" / "log"
-    (log / "batch_id=0" / "_SUCCESS").unlink()
+    table = folder.tables.blacklist
+    table.write(rows.where("userid = 1"), 0)
+    table._save(rows, "log/epoch=0/batch_id=1")  # ended before the batch was listed
+    assert folder.rows("blacklist") == {(1,)}
+    for marker in folder.path.rglob("_SUCCESS"):  # not every committer leaves one
+        marker.unlink()
     assert folder.rows("blacklist") == {(1,)}
 
 
-def test_log_folds(spark, tmp_path):
+def _dated(spark, *rows):
     schema = AdTables.below("x").stats.schema
-    day = START.date()
-
-    def rows(*r):
-        return spark.createDataFrame([(day, p, "c", a, n) for p, a, n in r], schema)
+    days = [(START.date() + timedelta(days=d), p, "c", a, n) for d, p, a, n in rows]
+    return spark.createDataFrame(days, schema)
 
-    def result(fold, before=None):
-        log = BatchLog(str(tmp_path / "log"), schema, fold, ("date",))
-        return {(r.province, r.adid, r.click_count) for r in log.current(spark, before).collect()}
 
-    log = BatchLog(str(tmp_path / "log"), schema, batchlog.latest_groups(("date", "province")))
-    log.write(rows(("p", 1, 5), ("p", 2, 4), ("q", 1, 9)), 0)
-    log.write(rows(("p", 3, 2)), 1)
-    log.write(rows(("r", 1, 1)), 2)
+def test_log_folds(spark, tmp_path):
+    schema = AdTables.below("x").stats.schema
     keys = ("date", "province", "city", "adid")
-    groups = {("p", 3, 2), ("q", 1, 9), ("r", 1, 1)}
-    assert result(batchlog.latest_groups(("date", "province"))) == groups
-    assert len(result(batchlog.summed(keys, "click_count"))) == 5
-    log.write(rows(("q", 1, 3)), 3)
-    assert ("q", 1, 3) in result(batchlog.latest(keys, "click_count"))
-    assert ("q", 1, 12) in result(batchlog.summed(keys, "click_count"))
-    assert ("q", 1, 9) in result(batchlog.latest(keys, "click_count"), before=3)
-    log.compact(spark, before=3)
-    assert result(batchlog.latest_groups(("date", "province")), before=3) == groups
-    assert ("q", 1, 3) in result(batchlog.latest_groups(("date", "province")))
-    assert result(batchlog.latest_groups(("date", "province")), before=1) == {
-        ("p", 1, 5), ("p", 2, 4), ("q", 1, 9),
-    }
+    folds = {
+        "groups": batchlog.latest_groups(("date", "province")),
+        "latest": batchlog.latest(keys, "click_count"),
+        "summed": batchlog.summed(keys, "click_count"),
+    }
+    # epochs of two: the third batch folds the first two, the fifth the next two
+    logs = {
+        k: BatchLog(str(tmp_path / k), schema, fold, True, compact_every=2) for k, fold in folds.items()
+    }
+    batches = [
+        [(0, "p", 1, 5), (0, "p", 2, 4), (0, "q", 1, 9)],
+        [(0, "p", 3, 2)],
+        [(1, "r", 1, 1)],
+        [(0, "q", 1, 3)],
+        [(2, "s", 1, 1)],
+    ]
+
+    def result(name, before=None):
+        rows = logs[name].current(spark, before).collect()
+        return {(r.province, r.adid, r.click_count) for r in rows}
+
+    expected = {
+        ("groups", 1): {("p", 1, 5), ("p", 2, 4), ("q", 1, 9)},
+        ("groups", 3): {("p", 3, 2), ("q", 1, 9), ("r", 1, 1)},
+        ("groups", None): {("p", 3, 2), ("q", 1, 3), ("r", 1, 1), ("s", 1, 1)},
+    }
+    for name, log in logs.items():
+        for n, rows in enumerate(batches):
+            log.write(_dated(spark, *rows), n)
+            if (name, n + 1) in expected:
+                assert result(name, n + 1) == result(name) == expected[name, n + 1]
+    assert result("groups") == expected["groups", None]
+    assert ("q", 1, 3) in result("latest") and ("q", 1, 12) in result("summed")
+    assert len(result("summed")) == 6
+    # a late try of the batch that folded still sees what was before it
+    assert ("q", 1, 12) in result("summed", before=4)
+
+
+def test_batch_reads_and_folds_its_dates_only(spark, tmp_path):
+    log = BatchLog(
+        str(tmp_path / "t"),
+        AdTables.below("x").stats.schema,
+        batchlog.summed(("date", "province", "city", "adid"), "click_count"),
+        True,
+        compact_every=2,
+    )
+    for n in range(8):
+        # the first epoch fills twenty days, later ones one day each
+        days = range(n * 10, n * 10 + 10) if n < 2 else [n // 2]
+        log.write(_dated(spark, *[(d, "p", 1, 1) for d in days]), n)
+    base = tmp_path / "t" / "base"
+    assert len(list((base / "epoch=0").glob("date=*"))) == 20
+    held = {e: {p.name for p in (base / f"epoch={e}").glob("date=*")} for e in (1, 2)}
+    assert held == {1: {"date=2024-01-06"}, 2: {"date=2024-01-07"}}
+    assert not list((tmp_path / "t" / "log" / "epoch=0").glob("batch_id=*"))
+    day = START.date() + timedelta(days=3)
+    rows = log.rows(spark, before=7, dates=(day, day))
+    plan = physical_plan(rows)
+    scans = re.findall(r"Location: InMemoryFileIndex.*?PartitionFilters: \[(.*?)\]", plan)
+    assert len(scans) == 2 and all(re.search(r"date#\d+ >= 2024|date#\d+ = 2024", s) for s in scans)
+    assert [r.click_count for r in log.fold(rows).collect()] == [2]
+    assert all("date=2024-01-08" in f for f in rows.inputFiles() if "/base/" in f)
+    total = log.current(spark).collect()
+    assert sum(r.click_count for r in total) == 26 and len(total) == 20
 
 
 def test_empty_tables_read_as_empty(folder):
-    assert folder.rows("stats") == set()
+    assert folder.rows("stats") == set() and folder.rows("blacklist") == set()
 
 
-def test_trend_equals_batch_and_never_shrinks(folder, spark):
-    lines = []
-    for f in range(4):
-        part = [_line(f * 40 + i, ad=i % 2) for i in range(60)]
-        lines += part
-        folder.drop(*part)
-        folder.trend(compact_every=2)
-    batch = ops.parse_ad_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+def test_late_clicks_count(folder, spark):
+    """Nothing is dropped however late it comes, in any job."""
+    lines = [[_line(0)], [_line(2 * 3600)], [_line(1), _line(2 * 3600 - 3000)], [_line(-400 * 86400)]]
+    for part in lines:
+        folder.drop(*part, "x", "")
+    folder.run(jobs.start_ad_trend)
+    batch = _parsed(spark, sum(lines, []))
     assert folder.rows("trend") == {tuple(r) for r in ops.clicks_per_minute(batch).collect()}
+    by_minute = {(r[1], r[2]): r[4] for r in folder.rows("trend") if r[0] == START.date()}
+    assert by_minute == {("10", "00"): 2, ("12", "00"): 1, ("11", "10"): 1}
+    assert folder.rows("line_counts") == {(13, 8)}
+    per_batch = folder.tables.line_counts.rows(spark).orderBy("batch_id").collect()
+    assert [(r.lines, r.malformed) for r in per_batch] == [(3, 2), (3, 2), (4, 2), (3, 2)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Shanghai"])
+def test_running_counts_equal_batch_in_any_zone(spark, tmp_path, zone):
+    folder = Folder(spark, tmp_path, compact_every=2)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        lines = []
+        for f in range(5):
+            part = [_line(f * 30000 + i * 61, "pq"[i % 2], ad=i % 3) for i in range(30)]
+            lines += part
+            folder.drop(*part)
+            folder.run(jobs.start_ad_stat)
+        expected = {tuple(r) for r in ops.running_click_counts(_parsed(spark, lines)).collect()}
+        assert folder.rows("stats") == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def test_trend_drops_clicks_behind_the_watermark(folder):
-    folder.drop(_line(0))
-    folder.drop(_line(2 * 3600))
-    folder.drop(_line(1), _line(2 * 3600 - 3000))
-    folder.drop(_line(2 * 3600 + 1))
-    folder.trend()
-    got = Counter({(r[1], r[2]): r[4] for r in folder.rows("trend")})
-    assert got == {("10", "00"): 1, ("12", "00"): 2, ("11", "10"): 1}
-
-
-def test_running_counts_from_state_equal_batch(folder, spark):
-    table = jobs.stat_table(str(folder.path / "stat"))
+@pytest.mark.parametrize("length, slide", [(1800, 600), (3600, 10)])
+def test_sliding_stream_equals_batch(spark, tmp_path, length, slide):
+    folder = Folder(spark, tmp_path, compact_every=2)
     lines = []
     for f in range(3):
-        part = [_line(f * 30000 + i * 61, "pq"[i % 2], ad=i % 3) for i in range(30)]
-        lines += part
-        folder.drop(*part)
-        jobs.start_ad_stat(folder.lines(), table, folder.checkpoint, None).awaitTermination()
-    batch = ops.parse_ad_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
-    expected = {tuple(r) for r in ops.running_click_counts(batch).collect()}
-    assert {tuple(r) for r in table.current(spark).collect()} == expected
-
-
-def test_sliding_stream_equals_batch(folder, spark):
-    table = jobs.sliding_table(str(folder.path / "sliding"))
-    lines = []
-    for f in range(2):
         part = [_line(f * 1000 + i * 97, ad=i % 2) for i in range(30)]
         lines += part
         folder.drop(*part)
-        jobs.start_ad_sliding(
-            folder.lines(), table, folder.checkpoint, 1800, 600, interval=None
-        ).awaitTermination()
-    batch = ops.parse_ad_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
-    expected = {tuple(r) for r in ops.clicks_sliding(batch, 1800, 600).collect()}
-    assert {tuple(r) for r in table.current(spark).collect()} == expected
-
-
-def test_day_windows_refuse_other_zones(spark):
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
-    try:
-        with pytest.raises(ValueError):
-            jobs.running_counts_by_day(spark.range(1).select(F.current_timestamp().alias("ts")))
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        folder.run(jobs.start_ad_sliding, length_seconds=length, slide_seconds=slide)
+    expected = {tuple(r) for r in ops.clicks_sliding(_parsed(spark, lines), length, slide).collect()}
+    steps = folder.tables.steps.current(spark)
+    assert steps.count() <= len(lines)  # one row per step and ad, not per window
+    assert {tuple(r) for r in jobs.sliding_windows(steps, length, slide).collect()} == expected
 
 
 def test_repartitioned_lines(folder):
