@@ -98,7 +98,9 @@ def test_a_large_session_is_split(spark):
     raw = spark.range(n).select(
         F.lit("2024-01-05").cast("date").alias("date"),
         (F.col("id") % 500).alias("user_id"),
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id") % 500).cast("string").alias("session_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+        .otherwise((F.col("id") % 500).cast("string"))
+        .alias("session_id"),
         (F.col("id") % 7).alias("page_id"),
         F.timestamp_seconds(F.lit(1704448800) + F.col("id")).alias("action_time"),
         (F.col("id") % 50).alias("click_product_id"),
@@ -109,14 +111,16 @@ def test_a_large_session_is_split(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
+
         def largest(kept):
+            """Share of the rows in the fullest partition that the join left."""
             sizes = kept.groupBy(F.spark_partition_id().alias("p")).count()
-            # counted where the join left the rows: the join's own partitions
             return max(r["count"] for r in sizes.collect()) / n
 
         salted = action_ops.filtered_actions(raw, ids)
         assert salted.count() == n
-        assert largest(salted) < 0.1 < 0.3 < largest(action_ops.filtered_actions(raw, ids, salts=1))
+        plain = action_ops.filtered_actions(raw, ids, salts=1)
+        assert largest(salted) < 0.1 < 0.3 < largest(plain)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -203,7 +207,7 @@ def test_shared_dir_lies_in_the_warehouse_if_not_set(spark, monkeypatch):
 def test_stored_keeps_rows(spark):
     df = spark.range(5).withColumn("x", F.array("id"))
     kept = runtime.stored(df)
-    assert kept.schema == df.schema and sorted(kept.collect()) == sorted(df.collect())
+    assert kept.dtypes == df.dtypes and sorted(kept.collect()) == sorted(df.collect())
 
 
 def test_checkpoint_keeps_rows(spark):
