@@ -773,7 +773,7 @@ def covers(
         F.col("__plain").alias("plain"),
     )
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = 4 * parts
+    slots = parts  # one for each task, to which its rows go directly
     # a copy of a whole text with a smaller id is covered altogether
     narrow = rows.select("id", "content", "digest", "n_bytes")
     firsts = narrow.groupBy("digest").agg(
@@ -786,7 +786,7 @@ def covers(
     )
     texts = rows.select("content", F.col("plain").alias("__bytes"))
     met = texts.mapInArrow(_sampled(length, gram, slots), _SAMPLES)
-    told = met.repartition(parts, "slot").mapInArrow(
+    told = met.repartitionById(parts, F.col("slot").cast("int")).mapInArrow(
         _repeated, "content long, slot long, hashes binary"
     )
     # what is known of a text: the smallest id that has it, and its repeated samples
