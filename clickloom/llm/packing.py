@@ -53,15 +53,15 @@ def shard(
     the driver: a bound that does not depend on the corpus. Slots number the rows of a
     shard from 0 without a gap.
 
-    A null text has size 1, as an empty one, but is a group of its own and has a null
-    checksum; a null id is kept. Repeated rows are rows. An empty table gives no rows.
+    A null text has size 1 and checksum 0, as an empty one, but is a group of its own; a
+    null id is kept. Repeated rows are rows. An empty table gives no rows.
     """
     raw = F.col(text).cast("binary")
     rows = df.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("tokens"),
-        F.crc32(raw).alias("text_crc32"),
+        F.coalesce(F.crc32(raw), F.lit(0)).cast("bigint").alias("text_crc32"),
         F.unhex(F.sha2(F.coalesce(raw, F.lit(b"").cast("binary")), 256)).alias("key"),
         F.col(text).isNull().alias("absent"),
     ).withColumn("h", F.xxhash64("key", "absent"))
