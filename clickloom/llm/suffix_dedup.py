@@ -786,14 +786,18 @@ def covers(
     )
     texts = rows.select("content", F.col("plain").alias("__bytes"))
     met = texts.mapInArrow(_sampled(length, gram, slots), _SAMPLES)
-    told = met.repartitionById(parts, F.col("slot").cast("int")).mapInArrow(
+    # rows known to be repeated need not meet any others, so they go anywhere
+    task = F.when(F.col("known"), F.pmod(F.xxhash64("contents"), F.lit(parts))).otherwise(F.col("slot"))
+    told = met.repartitionById(parts, task.cast("int")).mapInArrow(
         _repeated, "content long, slot long, hashes binary"
     )
     # what is known of a text: the smallest id that has it, and its repeated samples
     nothing = F.lit(None).cast("struct<slot:long,hashes:binary>")
     facts = (
         told.select(
-            "content", F.struct("slot", "hashes").alias("told"), F.lit(None).cast("long").alias("least")
+            "content",
+            F.struct("slot", "hashes").alias("told"),
+            F.lit(None).cast("long").alias("least"),
         )
         .unionByName(firsts.select("content", nothing.alias("told"), "least"))
         .groupBy("content")
@@ -801,10 +805,12 @@ def covers(
         .where(F.size("told") > 0)
     )
     own = _zipped(rows.select("id", "content", F.col("plain").alias("zipped")))
-    marked = own.join(facts.hint("shuffle_hash"), "content").where(F.array_contains("firsts", F.col("id")))
-    pieces = stored(
-        marked.select("id", "content", "zipped", "told").mapInArrow(_cut_out(length, gram, slots), _PIECES)
+    marked = (
+        own.join(facts.hint("shuffle_hash"), "content")
+        .where(F.array_contains("firsts", F.col("id")))
+        .select("id", "content", "zipped", "told")
     )
+    pieces = stored(marked.mapInArrow(_cut_out(length, gram, slots), _PIECES))
     open_ = pieces.where("not cover").drop("cover", "stop")
     if crowd is None:
         crowd = min(max(CROWD[0], pieces.count() // (2 * parts)), CROWD[1])
