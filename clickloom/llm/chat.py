@@ -50,6 +50,13 @@ def reply_nodes(conversations: DataFrame) -> DataFrame:
     ).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     """(tree, leaf, node, depth, path_rank) of the best root-to-leaf paths of each tree.
 
@@ -77,31 +84,35 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     first = ids.join(known, [*key, "parent"], "left").select(
         *key, "tree", "node", "up", F.lit(1).cast("bigint").alias("steps"), "score"
     )
-    jumps = [stored(first)]
+    now = start = stored(first)
+    done, jumps = [], []
     count = nodes.count()
     while True:
-        now = jumps[-1]
         open_ = now.where("up is not null")
-        if open_.isEmpty() or 1 << (len(jumps) - 1) > count:
+        done.append(now.where("up is null"))
+        if 1 << len(jumps) > count or open_.isEmpty():
             break
-        above = now.select(
+        jumps.append(open_)
+        above = _union([*done, open_]).select(
             *key,
             F.col("node").alias("up"),
             F.col("up").alias("next_up"),
             F.col("steps").alias("more"),
             F.col("score").alias("above"),
         )
-        jumped = now.join(above, [*key, "up"], "left").select(
-            *key,
-            "tree",
-            "node",
-            F.col("next_up").alias("up"),
-            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            (F.col("score") + F.coalesce("above", F.lit(0.0))).alias("score"),
+        # nodes whose root is found are not joined any more
+        now = stored(
+            open_.join(above, [*key, "up"]).select(
+                *key,
+                "tree",
+                "node",
+                F.col("next_up").alias("up"),
+                (F.col("steps") + F.col("more")).alias("steps"),
+                (F.col("score") + F.col("above")).alias("score"),
+            )
         )
-        jumps.append(stored(jumped))
-    rooted = jumps[-1].where("up is null")  # steps: nodes on the way from the root
-    parents = jumps[0].where("up is not null").select(*key, F.col("up").alias("node")).distinct()
+    rooted = _union(done)  # steps: nodes on the way from the root
+    parents = start.where("up is not null").select(*key, F.col("up").alias("node")).distinct()
     leaves = rooted.join(parents, [*key, "node"], "left_anti").withColumn(
         "path_score", F.col("score") / F.col("steps")
     )
@@ -116,7 +127,7 @@ def chosen_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     )
     for level in reversed(range(len(jumps))):
         # by now the nodes 2^(level+1), 2 * 2^(level+1), ... steps above the leaf are found
-        jump = jumps[level].where("up is not null").select(*key, "node", "up")
+        jump = jumps[level].select(*key, "node", "up")
         higher = path.join(jump, [*key, "node"]).select(
             *key,
             "tree",
