@@ -16,20 +16,23 @@ BUNDLES = 32_768
 CELLS = 2_048
 
 _DIMENSIONS = ("bytes", "tokens", "rows")
+# What residual capacity counts for in each: shards shall be equal in bytes first of all.
+WEIGHTS = (16.0, 1.0, 1.0)
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
+def place(sizes: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """Shard of every item: largest first, to where size . residual capacity is highest.
 
-    Sizes and capacities are measured as shares of the totals, so bytes, tokens and
-    rows weigh alike. Ties go to the lowest shard.
+    Sizes and capacities are measured as shares of the totals and weighed. Ties go to
+    the lowest shard.
     """
     total = np.maximum(sizes.sum(axis=0), 1e-300)
     share = sizes / total
+    weights = np.array(weights)
     residual = np.full((shards, sizes.shape[1]), 1.0 / shards)
     out = np.empty(len(sizes), np.int32)
     for i in np.argsort(-share.max(axis=1), kind="stable"):
-        best = int(np.argmax(residual @ share[i]))
+        best = int(np.argmax(residual @ (weights * share[i])))
         out[i] = best
         residual[best] -= share[i]
     return out
