@@ -57,7 +57,7 @@ def map_batches(
     """
     bounded_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in fields and f.name not in inputs]
-    added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
+    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items()))
     names = [f.name for f in kept]
     types = {f.name: _arrow_type(f.dataType) for f in added.fields}
 
@@ -90,7 +90,9 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return plain[kind.simpleString()]
 
 
-def with_bytes(df: DataFrame, text: str, keep: tuple[str, ...] | None, new: Iterable[str]) -> DataFrame:
+def with_bytes(
+    df: DataFrame, text: str, keep: tuple[str, ...] | None, new: Iterable[str]
+) -> DataFrame:
     """The columns to carry along (all by default, without those to be added) and ``__bytes``."""
     names = [c for c in (df.columns if keep is None else keep) if c not in set(new)]
     return df.select(*names, as_bytes(text).alias("__bytes"))
@@ -153,8 +155,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
+            both.join(low, "u")
+            .where("v > u and v <> m")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .distinct()
+        )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         links = stored(
