@@ -148,8 +148,8 @@ def scan(
     A text block is a line. Of a block only the words that some template has can count, and a block
     with fewer of them than the smallest ``need`` contains no template; so lines are
     cut down to those words in one pass over the texts, and only lines with enough of
-    them (a few) are joined. A line is labelled by the template it contains most of, by
-    share and then by words; ties all count. The score is the best containment found, 1 where a phrase stands.
+    them (a few) are joined. A line is labelled by every template it contains, except where a
+    closer one (by share and then by words) explains the same words; ties all count. The score is the best containment found, 1 where a phrase stands.
 
     Null and empty texts have no words, null places and no labels. Rows with the same
     id, or none, stay separate. An empty table gives no rows.
@@ -177,16 +177,27 @@ def scan(
             "row", F.struct("row", "line").alias("block"), "tokens"
         )
     )
-    hits = containment_join(blocks, sets, threshold).join(sets.select("template", "label"), "template")
-    # a short notice can be contained in another's line: the closest one names the block
-    closest = F.max(F.struct("containment", "overlap")).over(Window.partitionBy("block"))
-    hits = hits.withColumn("closest", closest).where(
-        (F.col("containment") == F.col("closest.containment"))
-        & (F.col("overlap") == F.col("closest.overlap"))
+    hits = (
+        containment_join(blocks, sets, threshold)
+        .join(blocks.select("block", F.col("tokens").alias("held")), "block")
+        .join(sets, "template")
+        .select("block", "label", "containment", "overlap", F.array_intersect("held", "tokens").alias("matched"))
     )
+    # a notice can hold most of a similar one: of those that the same words explain, the closest
+    # stays; other notices in the block stay too. A block has a hit a template at most.
+    of_block = hits.groupBy("block").agg(
+        F.collect_list(F.struct("containment", "overlap", "label", "matched")).alias("all")
+    )
+    closer = lambda a, b: (a["containment"] > b["containment"]) | (
+        (a["containment"] == b["containment"]) & (a["overlap"] > b["overlap"])
+    )
+    explained = lambda h: F.exists(
+        "all", lambda o: closer(o, h) & (F.size(F.array_except(h["matched"], o["matched"])) == 0)
+    )
+    left = of_block.select("block", F.explode(F.filter("all", lambda h: ~explained(h))).alias("hit"))
     per_doc = (
-        hits.groupBy(F.col("block.row").alias("row"))
-        .agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+        left.groupBy(F.col("block.row").alias("row"))
+        .agg(F.collect_set("hit.label").alias("found"), F.max("hit.containment").alias("best"))
     )
     labels = F.array_sort(
         F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>")))
