@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from clickloom.llm import (
     bpe,
     chat,
+    compression,
     decontam,
     license_join,
     lzprint,
+    manifest,
     packing,
     quality,
+    repair,
     simhash,
     suffix_dedup,
     toxicity,
@@ -150,6 +153,21 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(s: SparkSession, d: str) -> DataFrame:
+    """Counts, compression ratio and verdict of every document."""
+    return compression.judged(table(s, d, "documents"), keep=("doc_id",))
+
+
+def op12_merkle_manifest(s: SparkSession, d: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of documents, checked against tampered texts."""
+    return manifest.verified_documents(table(s, d, "documents"))
+
+
+def op13_conversation_repair(s: SparkSession, d: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    return repair.repaired(repair.damaged(table(s, d, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -163,5 +181,8 @@ QUERIES = {
         op8_license_scan,
         op9_sharding,
         op10_chat_format,
+        op11_quality_rules,
+        op12_merkle_manifest,
+        op13_conversation_repair,
     )
 }
