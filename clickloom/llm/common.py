@@ -126,9 +126,22 @@ def stored(df: DataFrame) -> DataFrame:
 
     A lost executor costs no earlier work, and rows read twice are the same twice.
     """
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored`` rows and their folder, for tables that are removed before the session ends."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Remove stored tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -139,7 +152,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and no component is ever gathered in one place. Rounds are written to the shared
     folder. Nulls and self-links are ignored; an empty input gives an empty result.
     """
-    links = stored(
+    links, folder = stored_at(
         edges.where(f"{a} <> {b}")
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
@@ -162,11 +175,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        links = stored(
+        links, following = stored_at(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
+        remove(edges.sparkSession, folder)
+        folder = following
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

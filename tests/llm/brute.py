@@ -100,3 +100,29 @@ def lz78(text: str) -> set[str]:
             known.add(piece)
             piece = ""
     return known
+
+
+def shingle_sets(docs):
+    """Five-word shingles of (id, text) pairs."""
+    out = {}
+    for i, t in docs:
+        w = (t or "").lower().split()
+        out[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def shingle_groups(docs):
+    """Smallest id of each text's component: all pairs with similarity 0.8 or more are links."""
+    sets, root = shingle_sets(docs), {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in root}
