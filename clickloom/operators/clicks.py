@@ -23,13 +23,13 @@ _MIN_MILLIS = -62135596800000
 _MAX_MILLIS = 253402300799999
 
 
-def _fields(lines: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
+def _fields(lines: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Column, list[Column]]:
     """Lines split once, the test for a whole line, and the click's columns.
 
     The split goes through ``explode``: as a plain column it would be merged
     into the test and into every field, and run once for each.
     """
-    parts = lines.select(F.explode(F.array(F.split("value", " ", 5))).alias("parts"))
+    parts = lines.select(*keep, F.explode(F.array(F.split("value", " ", 5))).alias("parts"))
     province, city = F.get("parts", F.lit(1)), F.get("parts", F.lit(2))
     millis = F.get("parts", F.lit(0)).try_cast("bigint")
     userid = F.get("parts", F.lit(3)).try_cast("bigint")
@@ -51,16 +51,18 @@ def _line_counts(valid: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("lines"), F.count_if(~valid).alias("malformed")]
 
 
-def parse_ad_lines(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
-    """``epoch_ms province city userid adid`` lines as typed clicks.
+def parse_ad_lines(
+    lines: DataFrame, counts: Observation | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``epoch_ms province city userid adid`` lines as typed clicks, after the columns in ``keep``.
 
     Lines that do not parse are left out; ``malformed_line_count`` tells how
     many. An observation gets the same numbers while the clicks are computed.
     """
-    parts, valid, columns = _fields(lines)
+    parts, valid, columns = _fields(lines, keep)
     if counts is not None:
         parts = parts.observe(counts, *_line_counts(valid))
-    return parts.where(valid).select(*columns)
+    return parts.where(valid).select(*keep, *columns)
 
 
 def malformed_line_count(lines: DataFrame) -> DataFrame:

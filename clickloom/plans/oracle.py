@@ -618,3 +618,124 @@ ORACLE = {
         " FROM orders GROUP BY o_custkey"
     ),
 }
+
+_FLOW_PAGES = (1, 2, 3, 4, 5, 6, 7)
+
+
+def _page_steps() -> str:
+    """One row per step of the flow, from counts of adjacent pages."""
+    count = lambda a, b: f"(SELECT count(*) FROM steps WHERE previous = {a} AND page_id = {b})"
+    rows, reached = [], f"(SELECT count(*) FROM steps WHERE page_id = {_FLOW_PAGES[0]})"
+    for n, (a, b) in enumerate(zip(_FLOW_PAGES, _FLOW_PAGES[1:], strict=False), 1):
+        taken = count(a, b)
+        rows.append(
+            f"SELECT {n}::BIGINT AS step, {a}::BIGINT AS from_page, {b}::BIGINT AS to_page,"
+            f" {taken} AS transitions, {reached} AS reached"
+        )
+        reached = taken
+    return (
+        "SELECT *, floor(transitions * 100.0::DOUBLE / nullif(reached, 0) + 0.5) / 100.0::DOUBLE"
+        f" AS conversion_ratio FROM ({' UNION ALL '.join(rows)})"
+    )
+
+
+def _islands(source: str, user: str, time: str) -> str:
+    """Rows numbered by sessions that end after six hours of rest."""
+    return f"""
+timed AS (
+  SELECT {user}, {time} AS t, lag({time}) OVER (PARTITION BY {user} ORDER BY {time}) AS before
+  FROM {source}),
+islands AS (
+  SELECT {user}, t, sum(CASE WHEN before IS NULL OR t - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY {user} ORDER BY t ROWS UNBOUNDED PRECEDING) AS island
+  FROM timed)"""
+
+
+def _ratio_sets(by: str, sets: str) -> str:
+    figures = _ratios("sessions JOIN users USING (user_id)").replace("SELECT ", "", 1)
+    return f"SELECT {by}, GROUPING({by})::BIGINT AS grouping_id, {figures} GROUP BY GROUPING SETS ({sets})"
+
+
+# Lines as the log holds them, in whole milliseconds.
+_LINES = """
+lines AS (
+  SELECT * REPLACE (date_trunc('milliseconds', ts) AS ts) FROM logged)"""
+
+_LATE = """
+hours AS (
+  SELECT hour(ts) // 6 AS part, date_trunc('hour', ts) AS window_start, adid FROM lines),
+marks AS (
+  SELECT n AS part, (SELECT max(ts) FROM lines WHERE hour(ts) // 6 < n) - INTERVAL 600 SECOND AS mark
+  FROM range(4) AS r(n)),
+judged AS (
+  SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, adid,
+         coalesce(window_start + INTERVAL 1 HOUR <= mark, false) AS late
+  FROM hours JOIN marks USING (part))"""
+
+ORACLE |= {
+    "page_step_conversion": _with(
+        [
+            ACTIONS,
+            "steps AS (SELECT page_id, lag(page_id) OVER"
+            " (PARTITION BY session_id ORDER BY action_time, page_id) AS previous"
+            " FROM actions WHERE page_id IS NOT NULL)",
+        ],
+        _page_steps(),
+    ),
+    "gap_sessions": _with(
+        [ACTIONS, _islands("actions", "user_id", "action_time")],
+        "SELECT user_id, CAST(island AS BIGINT) AS gap_session, min(t) AS start_time, max(t) AS end_time,"
+        " count(*) AS step_length,"
+        " CAST(floor(epoch(max(t))) - floor(epoch(min(t))) AS BIGINT) AS visit_length"
+        " FROM islands GROUP BY user_id, island",
+    ),
+    "click_last_view": _with(
+        [ACTIONS],
+        "SELECT c.event_id, c.user_id, c.ts, v.ts AS viewed_at, CAST(v.k % 10 AS BIGINT) AS viewed_page"
+        " FROM (SELECT * FROM ev WHERE event_type = 'click') c"
+        " ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') v"
+        " ON c.user_id = v.user_id AND c.ts >= v.ts",
+    ),
+    "session_ratio_sets": _with(
+        [COMPRESSED, _sessions("clocked"), USERS],
+        _ratio_sets("age, professional, city, sex", "(age), (professional), (city), (sex), ()"),
+    ),
+    "session_ratio_cube": _with(
+        [COMPRESSED, _sessions("clocked"), USERS],
+        _ratio_sets("professional, sex", "(professional, sex), (professional), (sex), ()"),
+    ),
+    "session_sketch_days": _with(
+        [COMPRESSED, _sessions("clocked")],
+        "SELECT CAST(start_time AS DATE) AS date, count(*) AS session_count,"
+        " count(DISTINCT user_id) AS exact_users, true AS users_within, true AS median_within"
+        " FROM sessions GROUP BY ALL",
+    ),
+    "partition_replace": ORACLE["keyed_replace"],
+    "stream_ad_stat_state": ORACLE["stream_ad_stat"],
+    "stream_ad_unique": _with(
+        [CLICKS, LOGGED, _LINES],
+        "SELECT date, province, city, adid, count(*) AS click_count"
+        " FROM (SELECT DISTINCT date, province, city, adid, userid, ts FROM lines) GROUP BY ALL",
+    ),
+    "stream_click_sessions": _with(
+        [CLICKS, LOGGED, _LINES, _islands("lines", "userid", "ts")],
+        "SELECT userid, min(t) AS start_time, max(t) AS end_time, count(*) AS click_count"
+        " FROM islands GROUP BY userid, island HAVING max(t) + INTERVAL 6 HOUR"
+        " <= (SELECT max(ts) FROM lines) - INTERVAL 1 HOUR",
+    ),
+    "stream_ad_window_late": _with(
+        [CLICKS, LOGGED, _LINES, _LATE],
+        "SELECT window_start, window_end, adid, count(*) FILTER (NOT late) AS on_time,"
+        " count(*) FILTER (late) AS late FROM judged GROUP BY window_start, window_end, adid",
+    ),
+    "stream_ad_arrival_hour": _with(
+        [
+            CLICKS,
+            LOGGED,
+            "counted AS (SELECT hour(ts) // 6 AS part, adid, count(*) AS n FROM logged GROUP BY ALL)",
+        ],
+        "SELECT TIMESTAMP '2024-03-01 12:00:00' + to_minutes(CAST(25 * part AS INTEGER)) AS as_of, adid,"
+        " CAST(sum(n) OVER (PARTITION BY adid ORDER BY part RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)"
+        " AS BIGINT) AS click_count FROM counted",
+    ),
+}

@@ -22,7 +22,7 @@ from clickloom.operators import (
     textjobs,
 )
 from clickloom.operators.filters import SessionCriteria, any_overlap, session_filter
-from clickloom.plans import jobs
+from clickloom.plans import jobs, sequences
 from clickloom.runtime import shared_dir
 from clickloom.sources import bindings as b
 from clickloom.sources import readers
@@ -550,4 +550,5 @@ QUERIES = {
     "kv_field_rewrite": kv_field_rewrite,
     "text_normalise": text_normalise,
     "ratio_round": ratio_round_query,
+    **sequences.QUERIES,
 }

@@ -127,12 +127,22 @@ def ad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ad_line_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The same lines in the order they arrive in: four parts by the hour of day, all days in each."""
+    """The same lines in the order they arrive in: four parts by the hour of day, all days in each.
+
+    Events without a time come with the first part; their lines are malformed.
+    """
     events = table(spark, sf_dir, "events")
-    quarter = F.floor(F.hour("ts") / 6)
+    quarter = F.coalesce(F.floor(F.hour("ts") / 6), F.lit(0))
     return [lines_of(spark, sf_dir, events.where(quarter == n)) for n in range(4)]
 
 
+def ad_line_weeks(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The same lines in the order of their days: four parts of eight days of a month."""
+    events = table(spark, sf_dir, "events")
+    week = F.coalesce(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(0))
+    return [lines_of(spark, sf_dir, events.where(week == n)) for n in range(4)]
+
+
 def lines_of(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
     ad = F.when(F.col("event_type") != "error", (F.col("k") % 20).cast("string"))

@@ -9,14 +9,16 @@ folds the epoch before it into a base, date by date, and only for dates that
 epoch holds; other dates keep the base they have. A small index tells the epoch
 of every date's base::
 
-    log/epoch=E/batch_id=N/date=D   rows of a batch
+    log/epoch=E/batch_id=N          rows of a batch, a file or a few
     base/epoch=E/date=D             rows of a date, folded up to the end of epoch E
     index/epoch=E                   (date, base_epoch) after that
     finished/epoch=E                the last complete batch of the epoch, written last
 
 A batch reads the log of its own epoch (or the one before) and the base of the
-dates it asks for, so its cost does not grow with history. Batch numbers follow
-each other without a gap, as a stream gives them.
+dates it asks for, so its cost does not grow with history. Rows are clustered by date
+before they are written, so a date has one file, or a few if it is large; small dates of
+a batch share one, whose statistics let readers pass it over. Batch numbers follow each
+other without a gap, as a stream gives them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.runtime import remove
+
 Fold = Callable[[DataFrame], DataFrame]
 Dates = tuple[datetime.date, datetime.date]
 
@@ -92,7 +96,7 @@ class BatchLog:
         spark = rows.sparkSession
         epoch = batch_id // self.compact_every
         own = f"epoch={epoch}/batch_id={batch_id}"
-        self._save(rows.select(*self.schema.names), f"log/{own}")
+        self._save(rows.select(*self.schema.names), f"log/{own}", False)
         if batch_id % self.compact_every == 0 and epoch > 0:
             self._compact(spark, epoch - 1)
         last = spark.range(batch_id, batch_id + 1).withColumnRenamed("id", "batch_id")
@@ -143,9 +147,11 @@ class BatchLog:
         rows = spark.createDataFrame([], self.schema)
         return rows.withColumn("batch_id", F.lit(-1).cast("bigint"))
 
-    def _save(self, rows: DataFrame, folder: str) -> None:
-        writer = rows.write.mode("overwrite")
-        if self.dated:
+    def _save(self, rows: DataFrame, folder: str, by_date: bool) -> None:
+        """Write rows clustered by date: few files, also from many tasks."""
+        clustered = rows.hint("rebalance", *["date"] * self.dated)
+        writer = clustered.write.mode("overwrite")
+        if by_date:
             writer = writer.partitionBy("date")
         writer.parquet(f"{self.path}/{folder}")
 
@@ -205,7 +211,7 @@ class BatchLog:
             if not rows:
                 return
             both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-            self._save(self.fold(both), f"base/epoch={epoch}")
+            self._save(self.fold(both), f"base/epoch={epoch}", False)
             if epoch > 1:
                 self._clear(spark, f"base/epoch={epoch - 2}")
         else:
@@ -216,7 +222,7 @@ class BatchLog:
                 rows = log
                 for base in self._base(spark, epoch - 1, tuple(span)) if epoch else []:
                     rows = rows.unionByName(base.join(held, "date", "left_semi"))
-                self._save(self.fold(rows), f"base/epoch={epoch}")
+                self._save(self.fold(rows), f"base/epoch={epoch}", True)
                 kept = old.join(held, "date", "left_anti")
                 new = held.withColumn("base_epoch", F.lit(epoch).cast("bigint"))
                 index = kept.unionByName(new)
@@ -225,13 +231,10 @@ class BatchLog:
             index.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/epoch={epoch}")
             # what the index before last names and the last one does not is read no more
             gone = self._index(spark, epoch - 2).join(old, ["date", "base_epoch"], "left_anti")
-            for r in gone.collect():
-                self._clear(spark, f"base/epoch={r.base_epoch}/date={r.date}")
+            self._clear(spark, *[f"base/epoch={r.base_epoch}/date={r.date}" for r in gone.collect()])
         if epoch > 0:
             self._clear(spark, f"log/epoch={epoch - 1}")
 
-    def _clear(self, spark: SparkSession, folder: str) -> None:
-        """Empty a folder: an empty table is written over it."""
-        spark.createDataFrame([], "batch_id long").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/{folder}"
-        )
+    def _clear(self, spark: SparkSession, *folders: str) -> None:
+        """Delete folders that nobody reads any more."""
+        remove(spark, *[f"{self.path}/{folder}" for folder in folders])

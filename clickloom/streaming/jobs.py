@@ -25,7 +25,7 @@ INTERVAL = "5 seconds"
 WINDOW_SECONDS, SLIDE_SECONDS = 3600, 10
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> StreamingQuery:
+def start_query(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> StreamingQuery:
     """Start with a checkpoint, so a restart goes on where the last run stopped.
 
     Without an interval the query handles what is there and ends. Batch numbers
@@ -114,7 +114,7 @@ def start_ad_flow(
     def handle(clicks: DataFrame, batch_id: int) -> None:
         apply_ad_batch(clicks, batch_id, tables, threshold, k)
 
-    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
+    return start_query(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
 def start_ad_trend(
@@ -125,7 +125,7 @@ def start_ad_trend(
     def handle(clicks: DataFrame, batch_id: int) -> None:
         tables.trend.write(ops.clicks_per_minute(clicks), batch_id)
 
-    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
+    return start_query(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
 def start_ad_stat(
@@ -136,7 +136,7 @@ def start_ad_stat(
     def handle(clicks: DataFrame, batch_id: int) -> None:
         tables.stats.write(ops.running_click_counts(clicks), batch_id)
 
-    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
+    return start_query(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
 def start_ad_sliding(
@@ -161,7 +161,7 @@ def start_ad_sliding(
         )
         tables.steps.write(dated.select(*STEP_KEYS, "click_count"), batch_id)
 
-    return _start(_each_batch(lines, tables, handle), checkpoint, interval)
+    return start_query(_each_batch(lines, tables, handle), checkpoint, interval)
 
 
 def sliding_windows(
