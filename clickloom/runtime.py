@@ -65,9 +65,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _files(spark: SparkSession, name: str):
+    """A Hadoop path and its file system, whatever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, *folders: str) -> None:
-    """Delete folders of any file system that Spark can write to."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete folders or files that nothing reads any more."""
     for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        path, files = _files(spark, folder)
+        files.delete(path, True)
+
+
+def touch(spark: SparkSession, name: str) -> None:
+    """Write an empty file."""
+    path, files = _files(spark, name)
+    files.create(path, True).close()
+
+
+def listed(spark: SparkSession, pattern: str, levels: int = 1) -> list[str]:
+    """The last ``levels`` parts of the paths that match a pattern."""
+    path, files = _files(spark, pattern)
+    found = files.globStatus(path) or []
+    return ["/".join(str(f.getPath().toString()).split("/")[-levels:]) for f in found]

@@ -6,13 +6,11 @@ distinct) is an aggregation applied when reading.
 
 Batches are kept in epochs of ``compact_every``. The first batch of an epoch
 folds the epoch before it into a base, date by date, and only for dates that
-epoch holds; other dates keep the base they have. A small index tells the epoch
-of every date's base::
+epoch holds; other dates keep the base they have, which the folders' names tell::
 
     log/epoch=E/batch_id=N          rows of a batch, a file or a few
     base/epoch=E/date=D             rows of a date, folded up to the end of epoch E
-    index/epoch=E                   (date, base_epoch) after that
-    finished/epoch=E                the last complete batch of the epoch, written last
+    finished/N                      an empty file for batch N, written last
 
 A batch reads the log of its own epoch (or the one before) and the base of the
 dates it asks for, so its cost does not grow with history. Rows are clustered by date
@@ -31,15 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.runtime import remove
+from clickloom.runtime import listed, remove, touch
 
+T_NULL = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a date
 Fold = Callable[[DataFrame], DataFrame]
 Dates = tuple[datetime.date, datetime.date]
 
 _NUMBERS = [T.StructField("epoch", T.LongType()), T.StructField("batch_id", T.LongType())]
-_INDEX = T.StructType(
-    [T.StructField("date", T.DateType()), T.StructField("base_epoch", T.LongType())]
-)
 
 
 def summed(keys: tuple[str, ...], value: str | tuple[str, ...]) -> Fold:
@@ -99,8 +95,9 @@ class BatchLog:
         self._save(rows.select(*self.schema.names), f"log/{own}", False)
         if batch_id % self.compact_every == 0 and epoch > 0:
             self._compact(spark, epoch - 1)
-        last = spark.range(batch_id, batch_id + 1).withColumnRenamed("id", "batch_id")
-        last.write.mode("overwrite").parquet(f"{self.path}/finished/epoch={epoch}")
+        touch(spark, f"{self.path}/finished/{batch_id}")
+        if batch_id > 1:  # the one before stays, in case a reader lists the files just now
+            remove(spark, f"{self.path}/finished/{batch_id - 2}")
 
     def current(
         self, spark: SparkSession, before: int | None = None, dates: Dates | None = None
@@ -139,9 +136,7 @@ class BatchLog:
 
     def _next(self, spark: SparkSession) -> int:
         """The number after the last finished batch."""
-        found = self._read(spark, "finished", T.StructType(_NUMBERS[::-1]))
-        last = None if found is None else found.agg(F.max("batch_id")).first()[0]
-        return -1 if last is None else last + 1
+        return max((int(name) for name in listed(spark, f"{self.path}/finished/*")), default=-2) + 1
 
     def _empty(self, spark: SparkSession) -> DataFrame:
         rows = spark.createDataFrame([], self.schema)
@@ -173,19 +168,24 @@ class BatchLog:
         found = self._read(spark, "log", schema, f"epoch={epoch}")
         return None if found is None else found.drop("epoch")
 
-    def _index(self, spark: SparkSession, epoch: int) -> DataFrame:
-        found = self._read(spark, "index", _INDEX, f"epoch={epoch}") if epoch >= 0 else None
-        empty = spark.createDataFrame([], _INDEX)
-        return empty if found is None else found.select(*_INDEX.names)
+    def _base_folders(self, spark: SparkSession, epoch: int) -> dict[str, list[int]]:
+        """date -> epochs up to this one that hold a base of it, oldest first."""
+        found: dict[str, list[int]] = {}
+        for folder in listed(spark, f"{self.path}/base/epoch=*/date=*", levels=2):
+            number, date = (part.split("=", 1)[1] for part in folder.split("/"))
+            if int(number) <= epoch:
+                found.setdefault(date, []).append(int(number))
+        return {date: sorted(numbers) for date, numbers in found.items()}
 
     def _base(self, spark: SparkSession, epoch: int, dates: Dates | None) -> list[DataFrame]:
         """The folded rows up to the end of an epoch, with the number of its last batch."""
         if self.dated:
-            index = self._index(spark, epoch)
-            if dates is not None:
-                index = index.where(F.col("date").between(*map(F.lit, dates)))
-            # one row per date asked for
-            folders = [f"epoch={r.base_epoch}/date={r.date}" for r in index.collect()]
+            first, last = ("", "~") if dates is None else map(str, dates)
+            folders = [
+                f"epoch={numbers[-1]}/date={date}"
+                for date, numbers in self._base_folders(spark, epoch).items()
+                if first <= date <= last or date == T_NULL
+            ]
         else:
             folders = [f"epoch={epoch}"]
         if not folders:
@@ -215,7 +215,6 @@ class BatchLog:
             if epoch > 1:
                 self._clear(spark, f"base/epoch={epoch - 2}")
         else:
-            old = self._index(spark, epoch - 1)
             span = None if log is None else log.agg(F.min("date"), F.max("date")).first()
             if span is not None and span[0] is not None:
                 held = log.select("date").distinct()
@@ -223,15 +222,13 @@ class BatchLog:
                 for base in self._base(spark, epoch - 1, tuple(span)) if epoch else []:
                     rows = rows.unionByName(base.join(held, "date", "left_semi"))
                 self._save(self.fold(rows), f"base/epoch={epoch}", True)
-                kept = old.join(held, "date", "left_anti")
-                new = held.withColumn("base_epoch", F.lit(epoch).cast("bigint"))
-                index = kept.unionByName(new)
-            else:
-                index = old
-            index.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/epoch={epoch}")
-            # what the index before last names and the last one does not is read no more
-            gone = self._index(spark, epoch - 2).join(old, ["date", "base_epoch"], "left_anti")
-            self._clear(spark, *[f"base/epoch={r.base_epoch}/date={r.date}" for r in gone.collect()])
+            # of the bases before this one, the last serves if this batch is tried again
+            replaced = [
+                f"base/epoch={number}/date={date}"
+                for date, numbers in self._base_folders(spark, epoch - 1).items()
+                for number in numbers[:-1]
+            ]
+            self._clear(spark, *replaced)
         if epoch > 0:
             self._clear(spark, f"log/epoch={epoch - 1}")
 

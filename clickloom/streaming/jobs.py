@@ -73,15 +73,16 @@ def apply_ad_batch(
     blacklist = tables.blacklist.current(spark, before=batch_id)
     kept = ops.blacklist_filter(batch, blacklist).persist()
     try:
+        span = tuple(kept.agg(F.min("date"), F.max("date")).first())
         by_user = ops.ad_user_click_counts(kept).persist()
-        totals = _touched_totals(tables.user_clicks, by_user, batch_id, ops.USER_AD_KEYS)
+        totals = _touched_totals(tables.user_clicks, by_user, batch_id, span, ops.USER_AD_KEYS)
         reached = ops.blacklist_users(ops.blacklist_candidates(totals, threshold))
         tables.blacklist.write(keyed.only_new(blacklist, reached, ["userid"]), batch_id)
         tables.user_clicks.write(by_user, batch_id)
         by_user.unpersist()
 
         by_city = ops.running_click_counts(kept).persist()
-        totals = _touched_totals(tables.stats, by_city, batch_id, ("date", "province"))
+        totals = _touched_totals(tables.stats, by_city, batch_id, span, ("date", "province"))
         top = ops.province_top_ads(ops.province_counts(totals), k)
         tables.province_top.write(top, batch_id)
         tables.stats.write(by_city, batch_id)
@@ -90,13 +91,14 @@ def apply_ad_batch(
         kept.unpersist()
 
 
-def _touched_totals(log: BatchLog, new: DataFrame, batch_id: int, touched: tuple) -> DataFrame:
-    """Totals of the keys, or groups of keys, that the new counts touch."""
-    span = new.agg(F.min("date"), F.max("date")).first()
+def _touched_totals(
+    log: BatchLog, new: DataFrame, batch_id: int, span: tuple, touched: tuple
+) -> DataFrame:
+    """Totals of the keys, or groups of keys, that the new counts touch; ``span`` has their dates."""
     if span[0] is None:
         return new
     keys = new.select(*touched).distinct()
-    stored = log.rows(new.sparkSession, before=batch_id, dates=tuple(span))
+    stored = log.rows(new.sparkSession, before=batch_id, dates=span)
     stored = stored.join(keys, list(touched), "left_semi")
     return log.fold(stored.drop("batch_id").unionByName(new))
 

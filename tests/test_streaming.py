@@ -122,8 +122,9 @@ def test_unfinished_batch_is_not_read(folder, spark):
     rows = spark.createDataFrame([(1,), (2,)], "userid long")
     table = folder.tables.blacklist
     table.write(rows.where("userid = 1"), 0)
-    table._save(rows, "log/epoch=0/batch_id=1")  # ended before the batch was listed
+    table._save(rows, "log/epoch=0/batch_id=1", False)  # ended before the batch was listed
     assert folder.rows("blacklist") == {(1,)}
+    assert table.rows(spark).count() == 1
     for marker in folder.path.rglob("_SUCCESS"):  # not every committer leaves one
         marker.unlink()
     assert folder.rows("blacklist") == {(1,)}
@@ -189,21 +190,37 @@ def test_batch_reads_and_folds_its_dates_only(spark, tmp_path):
         days = range(n * 10, n * 10 + 10) if n < 2 else [n // 2]
         log.write(_dated(spark, *[(d, "p", 1, 1) for d in days]), n)
     base = tmp_path / "t" / "base"
-    assert len(list((base / "epoch=0").glob("date=*"))) == 20
-    held = {e: {p.name for p in (base / f"epoch={e}").glob("date=*")} for e in (1, 2)}
-    assert held == {1: {"date=2024-01-06"}, 2: {"date=2024-01-07"}}
-    assert not list((tmp_path / "t" / "log" / "epoch=0").glob("batch_id=*"))
+    held = {e: {p.name for p in (base / f"epoch={e}").glob("date=*")} for e in (0, 1, 2)}
+    assert held[1] == {"date=2024-01-06"} and held[2] == {"date=2024-01-07"}
+    # the base of the first epoch still serves the dates that later epochs do not hold
+    assert len(held[0]) == 20 - 1
+    assert not (tmp_path / "t" / "log" / "epoch=0").exists()
     day = START.date() + timedelta(days=3)
     rows = log.rows(spark, before=7, dates=(day, day))
-    plan = physical_plan(rows)
-    scans = re.findall(r"Location: InMemoryFileIndex.*?PartitionFilters: \[(.*?)\]", plan)
-    assert len(scans) == 2 and all(re.search(r"date#\d+ >= 2024|date#\d+ = 2024", s) for s in scans)
+    scans = re.findall(r"Location: InMemoryFileIndex", physical_plan(rows))
+    assert len(scans) == 2
+    read = [f for f in rows.inputFiles() if "/base/" in f]
+    assert read and all("/base/epoch=0/date=2024-01-08/" in f for f in read)
     assert [r.click_count for r in log.fold(rows).collect()] == [2]
-    assert all("date=2024-01-08" in f for f in rows.inputFiles() if "/base/" in f)
     total = log.current(spark).collect()
     assert sum(r.click_count for r in total) == 26 and len(total) == 20
 
 
+def test_batches_write_few_files(spark, tmp_path):
+    """However many tasks and dates a batch has; its dates lie together in them."""
+    log = BatchLog(
+        str(tmp_path / "t"), AdTables.below("x").stats.schema,
+        batchlog.summed(("date", "province", "city", "adid"), "click_count"), True, compact_every=2,
+    )
+    rows = [(d, p, a, 1) for d in range(30) for p in "pq" for a in range(5)]
+    for n in range(4):
+        log.write(_dated(spark, *rows).repartition(16), n)
+    written = lambda kind: [p for p in (tmp_path / "t" / kind).rglob("*.parquet")]
+    assert len(written("log")) <= 2 * 4 and len(written("base")) == 30
+    assert {p.name for p in (tmp_path / "t" / "finished").iterdir() if p.name.isdigit()} == {"2", "3"}
+    assert sum(r.click_count for r in log.current(spark).collect()) == 4 * len(rows)
+
+
 def test_empty_tables_read_as_empty(folder):
     assert folder.rows("stats") == set() and folder.rows("blacklist") == set()
 
