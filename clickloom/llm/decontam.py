@@ -27,13 +27,15 @@ def item_windows(text: bytes, window: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + window]) for i in range(n)}
 
 
-def _automaton(items: list[tuple[str, bytes]], window: int):
+def _automaton(items: list[tuple[str | None, bytes]], window: int):
     import ahocorasick
 
     owners: dict[bytes, list[str]] = {}
     for item, text in items:
         for piece in item_windows(text, window):
-            owners.setdefault(piece, []).append(item)
+            found = owners.setdefault(piece, [])
+            if item is not None:
+                found.append(item)
     machine = ahocorasick.Automaton()
     for piece, ids in owners.items():
         # one character per byte, and blanks around it, so only whole words match
@@ -75,7 +77,7 @@ def scan(text: bytes, machine, spans: bool = False) -> tuple[int, np.ndarray, se
         rows = [
             (int(i), int(j - 1), int(starts[i]), int(stops[j - 1]), item)
             for i, j, (_, (_, ids)) in zip(first.tolist(), last.tolist(), found, strict=True)
-            for item in ids
+            for item in ids or (None,)
         ]
     return len(words), hit, items, rows
 
@@ -83,7 +85,6 @@ def scan(text: bytes, machine, spans: bool = False) -> tuple[int, np.ndarray, se
 def _item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
     """The benchmark in parts of bounded size, read from the cluster one by one."""
     rows = items.select(F.col(item_id).cast("string").alias("item"), as_bytes(text).alias("bytes"))
-    rows = rows.where("item is not null")
     total = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
     blocks = int(-(-total // block_bytes)) or 1
     if blocks == 1:
@@ -112,8 +113,8 @@ def contamination(
     occurrence, else they are empty. The automaton is made of the benchmark only; it is
     sent to the tasks in blocks of ``block_bytes`` of item text, so its size is bounded
     whatever the benchmark's, and words hit by different blocks are joined bit by bit.
-    Null or empty texts and items have no words; repeated items count by their id, and
-    items without an id are left out. ``keep`` names the columns carried along, by default all; columns
+    Null or empty texts and items have no words; repeated items count by their id. Items
+    without an id hit words like others, but are not in ``item_ids``. ``keep`` names the columns carried along, by default all; columns
     named like the new ones are replaced.
     """
     spark = docs.sparkSession

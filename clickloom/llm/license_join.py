@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 )
 THRESHOLD = 0.8
+# A block is 2 * STRIDE words from every STRIDE-th word on, so any STRIDE + 1 words that follow
+# each other, wherever lines break, lie in one block. No notice above is longer.
+STRIDE = 24
 
 
 def templates(df: DataFrame, rows=TEMPLATES) -> DataFrame:
@@ -145,37 +150,59 @@ def scan(
 ) -> DataFrame:
     """One row per document: phrase places, labels and score.
 
-    A text block is a line. Of a block only the words that some template has can count, and a block
-    with fewer of them than the smallest ``need`` contains no template; so lines are
-    cut down to those words in one pass over the texts, and only lines with enough of
-    them (a few) are joined. A line is labelled by every template it contains, except where a
-    closer one (by share and then by words) explains the same words; ties all count. The score is the best containment found, 1 where a phrase stands.
+    A text block is a run of 2 * ``STRIDE`` words from every ``STRIDE``-th word of the text on:
+    line breaks do not matter, and a notice lies whole in some block. A block is labelled
+    by every template it contains, except where a closer one (by share and then by words)
+    explains the same words; ties all count. The score is the best containment found, 1
+    where a phrase stands.
+
+    The texts are passed over once and cut down to the places of words that some template
+    has. A block that contains a template holds one of its rarest words (rarest in the
+    corpus), so only blocks around such words are put together and joined. Words are dealt
+    by document and block, so a text of any length is spread.
 
     Null and empty texts have no words, null places and no labels. Rows with the same
-    id, or none, stay separate. An empty table gives no rows.
+    id, or none, stay separate. An empty table gives no rows. Only the named columns are read.
     """
     sets = templates(docs, notices)
-    known = sorted({w for r in sets.select("tokens").collect() for w in r.tokens})  # of the notices
-    need = sets.agg(F.min(F.ceil(F.size("tokens") * threshold - 1e-9))).first()[0]
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    vocabulary = F.array(*[F.lit(w) for w in known])
-    # a line too short for so many words is not looked into
-    found = F.transform(
-        F.filter(lines, lambda line: F.char_length(line) >= 2 * need - 1),
-        lambda line: F.array_intersect(F.split(sql_words(line), " "), vocabulary),
-    )
-    base = docs.select(
+    of_template = [set(r.tokens) for r in sets.select("tokens").collect()]  # of the notices
+    known = sorted(set().union(*of_template))
+    need = [math.ceil(threshold * len(t) - 1e-9) for t in of_template]
+    # the words go through ``explode``: as a plain column the split would run for every word
+    texts = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).alias("doc_id"),
-        sql_words(F.col(text)).alias("words"),
-        F.filter(found, lambda s: F.size(s) >= need).alias("sets"),
-    )
+        F.explode(F.array(sql_words(F.col(text)))).alias("words"),
+    ).select("*", F.explode(F.array(F.split("words", " "))).alias("list"))
     columns = phrase_columns("words", phrases)
-    base = stored(base.select("row", "doc_id", "sets", *[c.alias(n) for n, c in columns.items()]))
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("list") - 1), lambda i: F.get("list", i).isin(*known)
+    )
+    held = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("list", i).alias("token")))
+    base = stored(
+        texts.select("row", "doc_id", held.alias("held"), *[c.alias(n) for n, c in columns.items()])
+    )
+    seen = {
+        r.token: r["count"]
+        for r in base.select(F.explode("held.token").alias("token")).groupBy("token").count().collect()
+    }  # one row a word of the notices
+    rare = set()
+    for words, least in zip(of_template, need, strict=True):
+        rare |= set(sorted(words, key=lambda w: (seen.get(w, 0), w))[: len(words) - least + 1])
+    some = base.where(F.exists("held.token", lambda t: t.isin(*sorted(rare))))
+    number = F.expr(f"word.at div {STRIDE}")
+    tokens = (
+        some.select("row", F.explode("held").alias("word"))
+        .select("row", "word.token", F.explode(F.array(number, number - 1)).alias("place"))
+        .where("place >= 0")
+    )
+    around = tokens.where(F.col("token").isin(*sorted(rare))).select("row", "place").distinct()
     blocks = stored(
-        base.select("row", F.posexplode("sets").alias("line", "tokens")).select(
-            "row", F.struct("row", "line").alias("block"), "tokens"
-        )
+        tokens.join(around, ["row", "place"], "left_semi")
+        .groupBy("row", "place")
+        .agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+        .where(F.size("tokens") >= min(need, default=1))
+        .select("row", F.struct("row", "place").alias("block"), "tokens")
     )
     hits = (
         containment_join(blocks, sets, threshold)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from clickloom.llm.common import UPPER
-from clickloom.llm.license_join import PHRASES, TEMPLATES, THRESHOLD
+from clickloom.llm.license_join import PHRASES, STRIDE, TEMPLATES, THRESHOLD
 
 
 def _words(text: str) -> str:
@@ -27,7 +27,8 @@ places AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + size - 1)) AS p
 n AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
 m AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL)
+  GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
@@ -50,16 +51,19 @@ t AS (
   SELECT template, label, list_distinct({_words("notice")}) AS tokens
   FROM (VALUES {_TEMPLATES}) AS v(template, label, notice)),
 b AS (
-  SELECT doc_id, line, list_distinct({_words("body")}) AS words
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body,
-               generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d)),
+  SELECT doc_id, place,
+    list_distinct(w[{STRIDE} * place + 1:{STRIDE} * place + 2 * {STRIDE}]) AS words
+  FROM (SELECT doc_id, w, unnest(range((len(w) + {STRIDE} - 1) // {STRIDE})) AS place FROM d)),
 hit AS (
-  SELECT doc_id, line, label, len(list_intersect(words, tokens)) AS overlap,
+  SELECT doc_id, place, label, list_intersect(words, tokens) AS matched,
+    len(list_intersect(words, tokens)) AS overlap,
     len(list_intersect(words, tokens)) / len(tokens) AS containment
   FROM b, t WHERE len(list_intersect(words, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
 closest AS (
-  SELECT * FROM hit
-  QUALIFY rank() OVER (PARTITION BY doc_id, line ORDER BY containment DESC, overlap DESC) = 1),
+  SELECT * FROM hit h WHERE NOT EXISTS (
+    SELECT 1 FROM hit o WHERE o.doc_id IS NOT DISTINCT FROM h.doc_id AND o.place = h.place
+      AND (o.containment > h.containment OR (o.containment = h.containment AND o.overlap > h.overlap))
+      AND len(list_intersect(h.matched, o.matched)) = h.overlap)),
 found AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best
   FROM closest GROUP BY doc_id)

@@ -77,15 +77,16 @@ def contamination(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     windows = defaultdict(set)
     for item, text in items:
         w = words(text)
-        if w and item is not None:
+        if w:
             for k in range(max(1, len(w) - 12)):
-                windows[tuple(w[k : k + 13])].add(str(item))
+                windows[tuple(w[k : k + 13])] |= set() if item is None else {str(item)}
     out = []
     for i, text in docs:
         w, hit, found = words(text), set(), set()
         for size in {len(k) for k in windows}:
             for k in range(len(w) - size + 1):
-                if ids := windows.get(tuple(w[k : k + size])):
+                ids = windows.get(tuple(w[k : k + size]))
+                if ids is not None:
                     found |= ids
                     hit |= set(range(k, k + size))
         out.append((i, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
@@ -126,3 +127,21 @@ def shingle_groups(docs):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: find(i) for i in root}
+
+
+def licence_labels(text, templates, threshold, stride):
+    """Labels of every run of 2 * stride words: what a template is contained in, the closest first."""
+    w, found, best = words(text), set(), 0.0
+    sets = [(label, set(words(notice))) for label, notice in templates]
+    for first in range(0, len(w), stride):
+        block = set(w[first : first + 2 * stride])
+        hits = [
+            (len(block & t) / len(t), len(block & t), label, block & t)
+            for label, t in sets
+            if len(block & t) >= threshold * len(t) - 1e-9
+        ]
+        for share, n, label, held in hits:
+            if not any((o[0], o[1]) > (share, n) and held <= o[3] for o in hits):
+                found.add(label)
+                best = max(best, share)
+    return found, best

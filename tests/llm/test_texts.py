@@ -87,6 +87,17 @@ def test_decontamination(spark):
     assert decontam.contamination(docs.where("false"), items).count() == 0
 
 
+def test_items_without_an_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "beta gamma"), (7, "gamma"), (None, None)], "item_id long, text string")
+    for size in (8 << 20, 4):
+        rows = decontam.contamination(docs, items, block_bytes=size, spans=True).collect()
+        got = {r.doc_id: (r.n_hit, r.item_ids, r.contaminated) for r in rows}
+        assert got == {1: (2, ["7"], True), 2: (0, [], False)}
+        spans = {(s.first_word, s.last_word, s.item_id) for r in rows for s in r.spans}
+        assert spans == {(1, 2, None), (2, 2, "7")}
+
+
 def test_contamination_spans_are_of_the_original(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
