@@ -42,13 +42,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> L
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, doc_id: str, columns: tuple[str, ...], most: int
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, columns: tuple[str, ...], most: int
 ) -> DataFrame:
-    """At most ``most`` rows of ``docs`` that have labels, with the label columns.
+    """At most ``most`` rows of id, text and label columns of ``docs`` that have labels.
 
     Chosen by a hash of the id, so the choice does not depend on how rows are stored.
     The chosen ids are few enough to broadcast. Rows with a null id or label are left out;
-    of an id labelled repeatedly each distinct label counts.
+    of an id labelled repeatedly each distinct label counts, and of documents that share
+    an id the one with the greatest text, so repeated rows do not add to the bound.
     """
     chosen = (
         labels.select(F.col(doc_id).alias("__label_id"), *columns)
@@ -57,5 +58,5 @@ def labelled_sample(
         .orderBy(F.xxhash64("__label_id"), "__label_id", *columns)
         .limit(most)
     )
-    rows = docs.drop(*columns).join(F.broadcast(chosen), F.col(doc_id) == F.col("__label_id"))
-    return rows.drop("__label_id")
+    rows = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("__label_id"))
+    return rows.groupBy(doc_id, *columns).agg(F.max(text).alias(text))

@@ -232,14 +232,16 @@ def compare_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     and joined by task number afterwards.
 
     Null texts count as empty; null ids come last. Rows with the same id are ordered by
-    their text. A single row is followed by itself. An empty table gives no rows.
+    a hash of their text, then by the text, so they spread over tasks. A single row is followed by itself. An empty table gives no rows.
     """
     bounded_batches(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         df.select(F.col(doc_id).cast("bigint").alias("doc_id"), as_bytes(text).alias("__bytes"))
-        .repartitionByRange(parts, F.desc_nulls_last("doc_id"))
-        .sortWithinPartitions(F.desc_nulls_last("doc_id"), "__bytes")
+        .withColumn("__hash", F.xxhash64("__bytes"))
+        .repartitionByRange(parts, F.desc_nulls_last("doc_id"), "__hash")
+        .sortWithinPartitions(F.desc_nulls_last("doc_id"), "__hash", "__bytes")
+        .drop("__hash")
     )
     walked = stored(ordered.mapInArrow(_chain, f"part int, edge string, text binary, {_ROW}"))
     rows = walked.where("edge is null").select(*_NAMES)

@@ -21,14 +21,27 @@ _SYMBOL = np.array(
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LOWER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
-FEATURES = 14
+SHARES = 14
+# Three-byte sequences are counted in so many classes by a hash.
+CLASSES = 128
+FEATURES = SHARES + CLASSES
+
+
+def sequences(text: bytes) -> np.ndarray:
+    """Square roots of the shares of three-byte sequences in each class: how words are written."""
+    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return np.zeros(CLASSES)
+    key = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    found = np.bincount((key * np.uint32(2654435761)) >> np.uint32(25), minlength=CLASSES)
+    return np.sqrt(found / len(key))
 
 
 def features(text: bytes) -> list[float]:
     """Shares and lengths that tell prose from junk; an empty text gives zeros."""
     words = text.split()
     if not words:
-        return [0.0] * FEATURES
+        return [0.0] * SHARES
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n, total = len(words), max(1, len(text) - int(counts[32] + counts[10] + counts[9]))
     letters = max(1, int(counts[_UPPER].sum() + counts[_LOWER].sum()))
@@ -56,7 +69,8 @@ def features(text: bytes) -> list[float]:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([features(raw) for raw in batch.column("__bytes").to_pylist()]).reshape(-1, FEATURES)
+    texts = batch.column("__bytes").to_pylist()
+    return np.array([[*features(raw), *sequences(raw)] for raw in texts]).reshape(-1, FEATURES)
 
 
 def fit_documents(
@@ -68,17 +82,17 @@ def fit_documents(
     most: int = MAX_TRAIN,
 ) -> Logistic | None:
     """Classifier of good (1) and bad (0) documents, or None without labels of both kinds."""
-    sample = labelled_sample(docs, labels, doc_id, (label,), most)
+    sample = labelled_sample(docs, labels, doc_id, text, (label,), most)
     rows = map_batches(
         with_bytes(sample.withColumn("__y", F.col(label).cast("double")), text, ("__y",), ()),
-        lambda: lambda batch: {"x": _matrix(batch).tolist()},
-        {"x": "array<double>"},
+        lambda: lambda batch: {"x": [row.tobytes() for row in _matrix(batch)]},
+        {"x": "binary"},
         ("__bytes",),
     ).collect()
     y = np.array([r["__y"] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    return fit(np.array([r["x"] for r in rows]), y)
+    return fit(np.array([np.frombuffer(r["x"]) for r in rows]), y)
 
 
 def document_evidence(
@@ -132,20 +146,21 @@ def site_posteriors(evidence: DataFrame) -> tuple[float, float, DataFrame]:
     """(global mean, path prior weight, table of ``host``, ``path``, ``n``, ``s``, ``prior``).
 
     ``evidence`` has ``host``, ``path`` and ``p_doc``. One grouped aggregation gives
-    counts and sums by path; hosts and the whole are sums of these. ``prior`` is the
-    posterior mean of the host, shrunk to the global mean; paths shrink to it in turn.
+    counts and sums by path; hosts and the whole are sums of these, and rows without a
+    site count for the whole. ``prior`` is the posterior mean of the host, shrunk to the
+    global mean; paths shrink to it in turn.
     """
-    paths = stored(
-        evidence.where("host is not null and path is not null")
-        .groupBy("host", "path")
+    every = stored(
+        evidence.groupBy("host", "path")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("p_doc").alias("s"),
             F.sum(F.col("p_doc") * F.col("p_doc")).alias("q"),
         )
     )
+    paths = every.where("host is not null and path is not null")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
-    total = evidence.agg(F.avg("p_doc")).first()[0]
+    total = every.agg(F.sum("s") / F.sum("n")).first()[0]
     mean = 0.5 if total is None else float(total)
     k_host = strength(mean, **_moments(hosts, F.lit(mean)))
     by_host = hosts.select(

@@ -203,6 +203,55 @@ def test_quality_shrinks_sparse_sites(spark):
     assert {r.prior for r in flat.collect()} == {0.5}
 
 
+def test_quality_posteriors_by_definition(spark):
+    """Sites, weights and decisions against plain loops over the same evidence."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn(
+        "source", F.expr("if(doc_id % 17 = 0, null, source)")
+    )
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.classified(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    rows = [(r.source, r.source and f"{r.source}/{r.lang}", r.p_doc) for r in out]
+    mean = np.mean([p for *_, p in rows])
+    sited = [r for r in rows if r[0] is not None]
+
+    def groups(key):
+        found = {}
+        for r in sited:
+            found.setdefault(r[key], []).append(r[2])
+        return found
+
+    def weight(found, center, count):
+        sizes = [len(v) for v in found.values()]
+        return quality.strength(
+            mean, sum(sizes), count, sum(n * n for n in sizes),
+            sum(len(v) * (np.mean(v) - center(k)) ** 2 for k, v in found.items()),
+            sum(np.var(v) * len(v) for v in found.values()),
+        )
+
+    hosts, paths = groups(0), groups(1)
+    k_host = weight(hosts, lambda _: mean, len(hosts))
+    host_mean = {h: np.mean(v) for h, v in hosts.items()}
+    free = min(len(paths), max(1, len(paths) - len(hosts)) + 1)
+    k_path = weight(paths, lambda p: host_mean[p.split("/")[0]], free)
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    for r, (host, path, p) in zip(out, rows, strict=True):
+        site = mean
+        if host is not None:
+            v = hosts[host]
+            prior = mean if np.isinf(k_host) else (sum(v) + k_host * mean) / (len(v) + k_host)
+            v = paths[path]
+            site = prior if np.isinf(k_path) else (sum(v) - p + k_path * prior) / (len(v) - 1 + k_path)
+        good = 1 / (1 + np.exp(-(logit(p) + logit(site) - logit(mean))))
+        assert abs(r.p_site - site) < 1e-6 and abs(r.p_good - good) < 1e-6
+        assert r.good == (r.p_good >= quality.KEEP)
+
+
+def test_byte_sequences_are_shares():
+    got = quality.sequences(b"abcABC")
+    assert abs((got**2).sum() - 1) < 1e-9 and abs(got.max() - np.sqrt(0.5)) < 1e-9  # abc twice of four
+    assert not quality.sequences(b"ab").any()
+
+
 def test_quality_and_toxicity_of_odd_rows(spark):
     schema = "doc_id long, text string, source string, lang string, good string"
     docs = spark.createDataFrame(
@@ -234,6 +283,101 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[1, True] / (n[1, True] + n[1, False]) > 0.88  # some are labelled so without a sign
 
 
+def _labelled(spark, truth, common=60):
+    """Documents of ``common`` words and insults; ``truth`` gives the label of (id, generator)."""
+    rng = np.random.default_rng(7)
+    common = [f"word{i}" for i in range(common)]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(common, 30))
+        if i % 4 == 0:
+            for at in rng.choice(30, rng.integers(1, 6), replace=False):
+                words[at] = rng.choice(["vilest", "rotter", "cursed"])
+            if i % 8 == 0:
+                words[3:5] = ["you", "vilest"]
+        rows.append((i, " ".join(words), truth(i, rng)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def _chain_by_definition(rows, least):
+    """Plain loops: markers without the row's fold, features, then the chain; also the last lexicon."""
+    def lexicon(seen):
+        df, hits = {}, {}
+        for _, words, y, _ in seen:
+            for m in {m for w in words for m in toxicity.markers(w)}:
+                df[m], hits[m] = df.get(m, 0) + 1, hits.get(m, 0) + y
+        n, pos = len(seen), sum(r[2] for r in seen)
+        part = lambda k, of: k * np.log(k / of) if k else 0.0
+        odds, hostile = {}, set()
+        for m, d in df.items():
+            h, share = hits[m], pos / n
+            if h > d * share and 2 * (part(h, d * share) + part(d - h, d * (1 - share))) >= least:
+                odds[m] = np.log((h + 0.5) / (pos + 1)) - np.log((d - h + 0.5) / (n - pos + 1))
+                if h >= 0.9 * d:
+                    hostile.add(m)
+        return toxicity.Lexicon(odds, frozenset(hostile))
+
+    x, truth = [], []
+    without = {f: lexicon([r for r in rows if r[3] != f]) for f in {r[3] for r in rows}}
+    for _, words, y, fold in rows:
+        own = without[fold]
+        hostile = [any(m in own.hostile for m in toxicity.markers(w)) for w in words]
+        targeted = any(b and w in toxicity.POINTING for w, b in zip(words, hostile[1:], strict=False))
+        severe = any(sum(hostile[i : i + toxicity.CLOSE]) >= toxicity.TOGETHER for i in range(len(words)))
+        x.append(own.features(words))
+        truth.append([y, y * targeted, y * severe])
+    x, truth, folds = np.array(x), np.array(truth, float), np.array([r[3] for r in rows])
+    models, seen = [], x
+    for y in truth.T:
+        models.append(linear.fit(seen, y))
+        again = np.zeros(len(y))
+        for f in set(folds.tolist()):
+            again[folds == f] = linear.fit(seen[folds != f], y[folds != f]).predict(seen[folds == f])
+        seen = np.column_stack([seen, again])
+    return lexicon(rows), models, truth
+
+
+def test_chain_by_definition(spark):
+    docs = _labelled(spark, lambda i, rng: int(i % 4 == 0 and i % 160 != 0))
+    chain = toxicity.fit_chain(docs.drop("toxic"), docs.select("doc_id", "toxic"), least=10.0)
+    held = docs.selectExpr("*", f"cast(pmod(xxhash64(cast(text as binary)), {toxicity.FOLDS}) as int) as fold")
+    rows = [(r.doc_id, r.text.encode().split(), r.toxic, r.fold) for r in held.collect()]
+    lexicon, models, truth = _chain_by_definition(rows, 10.0)
+    assert lexicon.odds.keys() == chain.lexicon.odds.keys() and b"vilest" in lexicon.hostile
+    assert 0 < truth[:, 1].sum() < truth[:, 0].sum() and 0 < truth[:, 2].sum() < truth[:, 0].sum()
+    got = {r.doc_id: r for r in toxicity.scored(docs, chain, keep=("doc_id",)).collect()}
+    for who, words, *_ in rows:
+        seen = np.array([lexicon.features(words)])
+        for category, model in zip(toxicity.CATEGORIES, models, strict=True):
+            p = model.predict(seen)
+            assert abs(got[who][f"p_{category}"] - p[0]) < 1e-6
+            seen = np.column_stack([seen, p])
+
+
+def test_labels_by_chance_give_no_gain_out_of_fold(spark):
+    docs = _labelled(spark, lambda i, rng: int(rng.integers(0, 2)), common=3000)
+    sample = docs.selectExpr("text", "toxic as y", "cast(doc_id % 5 as int) as fold")
+    *by_fold, whole = toxicity.lexicons(sample, least=1.0)
+
+    def right(lexicons):
+        x, truth, fold = toxicity.training_rows(sample, lexicons)
+        return ((toxicity.out_of_fold(x, truth[:, 0], fold) > 0.5) == truth[:, 0]).mean()
+
+    honest = right(by_fold)
+    # markers chosen with a row's own label tell it
+    assert honest < 0.58 and right([whole] * toxicity.FOLDS) > honest + 0.1
+
+
+def test_repeated_documents_do_not_add_to_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b", "x")] * 50 + [(1, "c", "y"), (2, None, "z"), (None, "q", "k")],
+                                 "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (None, 1)], "doc_id long, toxic int")
+    got = linear.labelled_sample(docs, labels, "doc_id", "text", ("toxic",), 10).collect()
+    assert sorted((r.doc_id, r.toxic, r.text) for r in got) == [(1, 0, "c"), (1, 1, "c"), (2, 1, None)]
+    out = toxicity.scored(docs.withColumn("p_toxic", F.lit("mine")), toxicity.fit_chain(docs, labels))
+    assert out.count() == 53 and dict(out.dtypes)["p_toxic"] == "double"
+
+
 def test_chain_uses_out_of_fold_predictions():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(200, 60)), rng.integers(0, 2, 200).astype(float)
