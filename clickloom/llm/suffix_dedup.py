@@ -803,12 +803,12 @@ def covers(
         .groupBy("content")
         .agg(F.collect_list("told").alias("told"), F.collect_set("least").alias("firsts"))
         .where(F.size("told") > 0)
+        .select(F.explode("firsts").alias("id"), "content", "told")
     )
+    # joined by id too, so larger copies of a text spread over all tasks, where they end
     own = _zipped(rows.select("id", "content", F.col("plain").alias("zipped")))
-    marked = (
-        own.join(facts.hint("shuffle_hash"), "content")
-        .where(F.array_contains("firsts", F.col("id")))
-        .select("id", "content", "zipped", "told")
+    marked = own.join(facts.hint("merge"), ["id", "content"]).select(
+        "id", "content", "zipped", "told"
     )
     pieces = stored(marked.mapInArrow(_cut_out(length, gram, slots), _PIECES))
     open_ = pieces.where("not cover").drop("cover", "stop")
@@ -918,5 +918,5 @@ def deduplicated(
         [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in out]
         + ["n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>", f"kept {kind}"]
     )
-    joined = rows.join(found.hint("shuffle_hash"), ["__id", "__content"], "left")
+    joined = rows.join(found.hint("merge"), ["__id", "__content"], "left")
     return joined.mapInArrow(_applied(out, kind), schema)
