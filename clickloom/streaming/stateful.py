@@ -4,23 +4,26 @@ The running count keeps a state row per key until the watermark has passed its d
 de-duplication forgets a line when the watermark has passed it; the arrival trend keeps an
 hour of minute counts for every ad and a timer for each. So state is bounded by the traffic
 of the lateness allowed and does not grow with history. Use the RocksDB provider of
-``runtime.RECOMMENDED_CONF``.
+``runtime.RECOMMENDED_CONF``; the arrival trend, which cannot do without, sets it itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from clickloom.operators import clicks as ops
 from clickloom.operators import gaps
+from clickloom.runtime import RECOMMENDED_CONF
 from clickloom.streaming.batchlog import BatchLog
 from clickloom.streaming.jobs import INTERVAL, start_query
 
 LATENESS = "2 days"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 HOUR_MINUTES = 60
 _MINUTE_MILLIS = 60_000
 
@@ -90,47 +93,71 @@ def start_click_sessions(
     )
 
 
-class LastHour(StatefulProcessor):
-    """Clicks of an ad that arrived in the last hour, as minute counts with a timer each.
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """RocksDB for queries started within, whatever the session names.
 
-    Gives (adid, as_of, click_count, expired) for the latest arrival of a batch, and
-    again, with ``expired``, whenever a minute has left the hour.
+    ``transformWithState`` keeps its map and timers in column families, which Spark's default
+    provider refuses. A query takes the setting over when it starts.
     """
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, RECOMMENDED_CONF[_PROVIDER])
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute long", "clicks long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        latest = 0
-        for row in rows:
-            minute = row.arrived_millis // _MINUTE_MILLIS
-            latest = max(latest, row.arrived_millis)
-            if self.minutes.containsKey((minute,)):
-                clicks = self.minutes.getValue((minute,))[0]
-            else:
-                clicks = 0
-                self.handle.registerTimer((minute + HOUR_MINUTES) * _MINUTE_MILLIS)
-            self.minutes.updateValue((minute,), (clicks + row.click_count,))
-        yield self._total(key, latest, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        millis = expiredTimerInfo.getExpiryTimeInMs()
-        gone = millis // _MINUTE_MILLIS - HOUR_MINUTES
-        for (minute,) in list(self.minutes.keys()):
-            if minute <= gone:
-                self.minutes.removeKey((minute,))
-        yield self._total(key, millis, True)
-
-    def close(self) -> None:
-        pass
-
-    def _total(self, key, millis: int, expired: bool) -> Row:
-        last = millis // _MINUTE_MILLIS
-        clicks = sum(
-            n for (minute,), (n,) in self.minutes.iterator() if last - HOUR_MINUTES < minute <= last
-        )
-        return Row(adid=key[0], as_of_millis=millis, click_count=clicks, expired=expired)
+
+def _last_hour() -> StatefulProcessor:
+    """The processor of the arrival trend.
+
+    Its class is made here so that Spark's workers get it whole: the one that prepares the state
+    on the driver does not find this package where only executors are told of it.
+    """
+
+    class LastHour(StatefulProcessor):
+        """Clicks of an ad that arrived in the last hour, as minute counts with a timer each.
+
+        Gives (adid, as_of, click_count, expired) for the latest arrival of a batch, and
+        again, with ``expired``, whenever a minute has left the hour.
+        """
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.minutes = handle.getMapState("minutes", "minute long", "clicks long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+            latest = 0
+            for row in rows:
+                minute = row.arrived_millis // _MINUTE_MILLIS
+                latest = max(latest, row.arrived_millis)
+                if self.minutes.containsKey((minute,)):
+                    clicks = self.minutes.getValue((minute,))[0]
+                else:
+                    clicks = 0
+                    self.handle.registerTimer((minute + HOUR_MINUTES) * _MINUTE_MILLIS)
+                self.minutes.updateValue((minute,), (clicks + row.click_count,))
+            yield self._total(key, latest, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+            millis = expiredTimerInfo.getExpiryTimeInMs()
+            gone = millis // _MINUTE_MILLIS - HOUR_MINUTES
+            for (minute,) in list(self.minutes.keys()):
+                if minute <= gone:
+                    self.minutes.removeKey((minute,))
+            yield self._total(key, millis, True)
+
+        def close(self) -> None:
+            pass
+
+        def _total(self, key, millis: int, expired: bool) -> Row:
+            last = millis // _MINUTE_MILLIS
+            clicks = sum(
+                n for (minute,), (n,) in self.minutes.iterator() if last - HOUR_MINUTES < minute <= last
+            )
+            return Row(adid=key[0], as_of_millis=millis, click_count=clicks, expired=expired)
+
+    return LastHour()
 
 
 def arrival_trend(clicks: DataFrame, lateness: str = "0 seconds") -> DataFrame:
@@ -146,7 +173,7 @@ def arrival_trend(clicks: DataFrame, lateness: str = "0 seconds") -> DataFrame:
         F.lit(1).cast("bigint").alias("click_count"),
     )
     found = rows.groupBy("adid").transformWithState(
-        LastHour(),
+        _last_hour(),
         "adid bigint, as_of_millis bigint, click_count bigint, expired boolean",
         "Update",
         "EventTime",
@@ -170,6 +197,7 @@ def start_arrival_trend(
     """The arrival trend of a stream of (value, arrived) lines."""
     clicks = ops.parse_ad_lines(lines, keep=("arrived",))
     trend = arrival_trend(clicks, lateness)
-    return start_query(
-        trend.writeStream.outputMode("update").foreachBatch(table.write), checkpoint, interval
-    )
+    with _rocksdb(lines.sparkSession):
+        return start_query(
+            trend.writeStream.outputMode("update").foreachBatch(table.write), checkpoint, interval
+        )

@@ -1,8 +1,11 @@
 """Streams with state: running counts, repeated lines, sessions, arrival windows, late clicks."""
 
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from test_streaming import START, Folder, _line, _parsed
 
@@ -100,6 +103,38 @@ def test_arrival_hour_shrinks_as_clicks_leave_it(spark, tmp_path):
     assert {(minute(60), 1, 1), (minute(60), 2, 0), (minute(100), 1, 0)} <= left
 
 
+def test_arrival_hour_needs_no_setting_of_the_session(spark, tmp_path):
+    """It runs with Spark's default state store, which it leaves as the session's."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    table = tables.arrival_totals(str(tmp_path / "t"))
+    rows = [(_line(0, ad=1), START), (_line(1, ad=1), START), (_line(2, ad=2), START)]
+    schema = "value string, arrived timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    spark.conf.set(key, plain)
+    try:
+        stateful.start_arrival_trend(
+            source, table, str(tmp_path / "checkpoint"), interval=None
+        ).awaitTermination()
+        assert spark.conf.get(key) == plain
+    finally:
+        spark.conf.set(key, before)
+    found = table.current(spark).where("not expired").select("as_of", "adid", "click_count")
+    assert _rows(found) == {(START, 1, 2), (START, 2, 1)}
+
+
+def test_processor_of_arrivals_is_sent_whole():
+    """Spark's worker on the driver unpickles it without this package."""
+    code = (
+        "import sys, pickle; print(type(pickle.loads(sys.stdin.buffer.read())).__name__)"
+    )
+    sent = cloudpickle.dumps(stateful._last_hour())
+    out = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={})
+    assert out.stdout.split() == [b"LastHour"], out.stderr.decode()
+
+
 def test_late_and_on_time_add_up(spark, folder):
     found = tables.LateTables.below(str(folder.path / "t"), compact_every=2)
 
