@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,25 +99,24 @@ def sample_runs(
         place = (m & np.uint64(CHUNK * 2 - 1)).astype(np.int64)
         ends = np.cumsum([len(t) for _, _, t in held])
         sizes = np.array([len(t) for _, _, t in held])
-        count = np.maximum(sizes - length + 1, 0)
-        owner = np.repeat(np.arange(len(held)), count)
-        begin = ends - sizes
-        starts = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(
-            count.sum()
-        )
-        if not len(starts):
-            return None
-        place = place[starts]
-        new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        last = np.concatenate((new[1:], [len(starts)])) - 1
-        who = owner[new]
+        begin, stop = ends - sizes, ends - length + 1
+        # a run ends where the sample changes, a text begins, or its windows end
+        edge = np.zeros(len(place) + 1, bool)
+        edge[1:-1] = place[1:] != place[:-1]
+        edge[begin] = edge[stop] = True
+        new = np.flatnonzero(edge[:-1])
+        last = np.append(new[1:], len(place)) - 1
+        who = np.searchsorted(begin, new, "right") - 1
+        inside = new < stop[who]  # other windows reach into the next text
+        new, last, who = new[inside], last[inside], who[inside]
         shift = np.array([at for _, at, _ in held])[who] - begin[who]
+        at = place[new]
         return (
             np.array([i for i, _, _ in held])[who],
-            starts[new] + shift,
-            starts[last] + shift,
-            place[new] + shift,
-            grams[place[new]],
+            new + shift,
+            last + shift,
+            at + shift,
+            grams[at],
         )
 
     for number, text in enumerate(texts):
@@ -125,13 +125,12 @@ def sample_runs(
             if len(part) < length:
                 continue
             if size + len(part) > CHUNK and held:
-                if (found := flush()) is not None:
-                    yield found
+                yield flush()
                 held, size = [], 0
             held.append((number, at, part))
             size += len(part)
-    if held and (found := flush()) is not None:
-        yield found
+    if held:
+        yield flush()
 
 
 _NO_ID = (1 << 63) - 1  # a missing id is smaller than none
@@ -178,7 +177,7 @@ def _sampled(length: int, gram: int, slots: int):
         if not len(h):
             return
         slot = _slot(h, slots)
-        order = np.lexsort((c, slot))
+        order = np.argsort(slot.astype(np.uint16) if slots <= 1 << 16 else slot, kind="stable")
         h, c, slot = h[order], c[order], slot[order]
         at = _starts(slot)
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(h)], strict=True):
@@ -192,18 +191,25 @@ def _sampled(length: int, gram: int, slots: int):
             }
 
     def unit(h: np.ndarray, c: np.ndarray):
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        one = _starts(h, c)
-        h, c = h[one], c[one]
-        at = _starts(h)
-        several = np.diff(at, append=len(h)) > 1
-        known = np.repeat(several, np.diff(at, append=len(h)))
-        marks = h[at[several]]
-        yield from rows(h[known], c[known], True)
+        order = np.argsort(h)
+        at = _starts(h[order])
+        times = np.diff(at, append=len(h))
+        lone = np.zeros(len(h), bool)
+        lone[order[at[times == 1]]] = True
+        # only samples that come again are sorted by text too
+        again = order[np.repeat(times > 1, times)]
+        again = again[np.lexsort((c[again], h[again]))]
+        ha, ca = h[again], c[again]
+        one = _starts(ha, ca)
+        ha, ca = ha[one], ca[one]
+        at = _starts(ha)
+        times = np.diff(at, append=len(ha))
+        known = np.repeat(times > 1, times)
+        marks = ha[at[times > 1]]
+        yield from rows(ha[known], ca[known], True)
         yield from rows(
-            np.concatenate((h[~known], marks)),
-            np.concatenate((c[~known], np.full(len(marks), -1))),
+            np.concatenate((h[lone], ha[~known], marks)),
+            np.concatenate((c[lone], ca[~known], np.full(len(marks), -1))),
             False,
         )
 
@@ -402,26 +408,29 @@ def _cut_out(length: int, gram: int, slots: int):
     further look.
     """
 
-    def pieces(texts, replies, ids, contents):
-        marked = [
-            np.sort(
-                np.concatenate(
-                    [np.uint64(r["slot"] << 40) | _unpacked(r["hashes"]) for r in told]
-                    or [np.zeros(0, np.uint64)]
-                )
-            )
-            for told in replies
-        ]
+    def tags(slot: np.ndarray, low: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """A sample of a text as one number; should two be alike, a run is cut out in vain."""
+        return (slot.astype(np.uint64) << np.uint64(40) | low) ^ mixed(
+            (text + 1).astype(np.uint64) * np.uint64(_BASE)
+        )
+
+    def told_tags(column: pa.ListArray, first: int) -> np.ndarray:
+        """Tags of the samples that a batch's texts, numbered from ``first``, were told of."""
+        replies = column.flatten()
+        text = np.repeat(np.arange(first, first + len(column)), column.value_lengths().to_numpy())
+        hashes = replies.field("hashes")
+        n = pc.binary_length(hashes).to_numpy() // 5
+        low = _unpacked(b"".join(hashes.to_pylist()))
+        return tags(np.repeat(replies.field("slot").to_numpy(), n), low, np.repeat(text, n))
+
+    def pieces(texts, marked, ids, contents):
+        own = np.sort(np.concatenate(marked))
+        if not len(own):
+            return
         rows = []
         for who, q0, q1, place, h in sample_runs(texts, length, gram):
-            tag = (_slot(h, slots).astype(np.uint64) << np.uint64(40)) | (h & _LOW)
-            at = _starts(who)
-            keep = np.zeros(len(who), bool)
-            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(who)], strict=True):
-                own = marked[who[i]]
-                if len(own):
-                    k = np.minimum(np.searchsorted(own, tag[i:j]), len(own) - 1)
-                    keep[i:j] = own[k] == tag[i:j]
+            tag = tags(_slot(h, slots), h & _LOW, who)
+            keep = own[np.minimum(np.searchsorted(own, tag), len(own) - 1)] == tag
             rows.append([x[keep] for x in (who, q0, q1, place, h)])
         if not rows:
             return
@@ -443,19 +452,22 @@ def _cut_out(length: int, gram: int, slots: int):
         size = 0
 
         def flush():
-            yield from pieces(
-                held[0], held[1], np.array(held[2], np.int64), np.array(held[3], np.int64)
-            )
+            yield from pieces(held[0], held[1], *(np.concatenate(x) for x in held[2:]))
 
         for batch in batches:
-            for z, told, i, c in zip(
-                *(batch.column(n).to_pylist() for n in ("zipped", "told", "id", "content")),
-                strict=True,
-            ):
+            begin = 0
+            zipped, told, ids, contents = (
+                batch.column(n) for n in ("zipped", "told", "id", "content")
+            )
+            for end, z in enumerate(zipped.to_pylist(), 1):
                 text = unzip(z)
-                for column, value in zip(held, (text, told or [], i, c), strict=True):
-                    column.append(value)
+                held[0].append(text)
                 size += len(text)
+                if size >= 4 * CHUNK or end == len(batch):
+                    held[1].append(told_tags(told[begin:end], len(held[0]) - (end - begin)))
+                    held[2].append(ids[begin:end].to_numpy())
+                    held[3].append(contents[begin:end].to_numpy())
+                    begin = end
                 if size >= 4 * CHUNK:
                     yield from flush()
                     held, size = [[], [], [], []], 0
@@ -472,18 +484,22 @@ def compare_suffixes(text: Prefixes, a: np.ndarray, b: np.ndarray, length: int)
     comparison takes the logarithm of the length; then one byte decides. Equality is
     confirmed byte by byte by the caller.
     """
+    sign = np.zeros(len(a), np.int64)
+    unlike = np.flatnonzero(text.of(a, length) != text.of(b, length))
+    a, b = a[unlike], b[unlike]
+    before_a, before_b = text.sums[a], text.sums[b]
+    down_a, down_b = Prefixes._down[a], Prefixes._down[b]
     common = np.zeros(len(a), np.int64)
     step = 1 << (length.bit_length() - 1)
     while step:
-        room = common + step <= length
-        size = np.where(room, step, 0)
-        same = room & (text.of(a + common, size) == text.of(b + common, size))
-        common += np.where(same, step, 0)
+        reach = common + step
+        room = np.minimum(reach, length)  # beyond the length, where they differ
+        same = (text.sums[a + room] - before_a) * down_a == (text.sums[b + room] - before_b) * down_b
+        common = np.where(same, reach, common)
         step >>= 1
-    end = common >= length
-    at = np.minimum(common, length - 1)
-    x, y = text.data[a + at].astype(np.int16), text.data[b + at].astype(np.int16)
-    return np.where(end, 0, np.sign(x - y))
+    x, y = text.data[a + common].astype(np.int16), text.data[b + common].astype(np.int16)
+    sign[unlike] = np.sign(x - y)
+    return sign
 
 
 def sort_suffixes(text: Prefixes, places: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:

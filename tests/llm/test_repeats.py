@@ -173,3 +173,36 @@ def test_components_of_a_long_chain(spark):
     roots = {r.node: r.root for r in components(chain).collect()}
     assert set(roots.values()) == {1} and len(roots) == 59 + 59
     assert components(chain.where("false")).count() == 0
+
+
+def test_suffixes_are_compared_with_few_hashes(monkeypatch):
+    """Two hashes a comparison say whether suffixes are alike; the search for where they part reads sums only."""
+    r = random.Random(5)
+    raw = bytes(r.choices(b"ab", k=3000)) * 2
+    text = suffix_dedup.Prefixes(np.frombuffer(raw, np.uint8))
+    calls = []
+    plain = suffix_dedup.Prefixes.of
+    monkeypatch.setattr(suffix_dedup.Prefixes, "of", lambda *given: calls.append(1) or plain(*given))
+    a = np.array([r.randrange(2900) for _ in range(500)])
+    b = np.where(np.arange(500) % 2, a + 3000, np.array([r.randrange(5900) for _ in range(500)]))
+    for length in (1, 7, 50, 64):
+        x = [(raw[i : i + length], raw[j : j + length]) for i, j in zip(a, b, strict=True)]
+        want = [(p > q) - (p < q) for p, q in x]
+        calls.clear()
+        assert suffix_dedup.compare_suffixes(text, a, b, length).tolist() == want
+        assert len(calls) <= 2
+
+
+def test_runs_stand_for_every_window(monkeypatch):
+    """Also of texts that are cut, of a window's length, and next to shorter ones."""
+    r = random.Random(6)
+    for chunk in (1 << 20, 512):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        texts = [bytes(r.choices(b"abc ", k=n)) for n in (0, 49, 50, 51, 300, 20, 50, 2000, 700, 50)]
+        seen = {}
+        for who, q0, q1, place, h in suffix_dedup.sample_runs(texts):
+            for i, lo, hi, at, x in zip(who, q0, q1, place, h, strict=True):
+                for q in range(lo, hi + 1):
+                    assert q <= at <= q + 30
+                    seen.setdefault((i, q), (at - q, x))
+        assert set(seen) == {(i, q) for i, t in enumerate(texts) for q in range(len(t) - 49)}
