@@ -129,6 +129,26 @@ def _head_pairs(mates: DataFrame, least: float) -> DataFrame:
     return _unordered(met.where(_fits(F.col("size"), F.col("head_size"), least)), "node", "head")
 
 
+def _close_pairs(close: DataFrame, unique: DataFrame, least: float) -> DataFrame:
+    """(a, b) of every set that another method found close to others, with the first of those."""
+    marked = unique.select("node", "size", "row").join(close.select("row", "near"), "row")
+    heads = marked.where("row = near").select(
+        "near", F.col("node").alias("head"), F.col("size").alias("head_size")
+    )
+    met = marked.where("row <> near").join(heads, "near")
+    return met.where(_fits(F.col("size"), F.col("head_size"), least)).select(
+        F.col("node").alias("a"), F.col("head").alias("b")
+    )
+
+
+def _open_pairs(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs that links of a set with its head (a, b) do not already connect."""
+    side = lambda x: linked.select(F.col("a").alias(x), F.col("b").alias(f"{x}_head"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = F.coalesce("a_head", "a") != F.coalesce("b_head", "b")
+    return both.where(apart).select("a", "b")
+
+
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, str]:
     """Stored pairs and their folder: pairs of (node, comp) from different components that may be similar; none is missed.
 
@@ -194,6 +214,7 @@ def near_copies(
     text: str = "text",
     width: int = WIDTH,
     least: float = LEAST,
+    close: DataFrame | None = None,
 ) -> DataFrame:
     """(row_id, doc_id, component_id, first) of every row of ``df``.
 
@@ -203,6 +224,10 @@ def near_copies(
     candidates (at 0.8 a pair is missed with chance 6e-4, at 0.9 with 1e-10), and whole sets
     are compared, so no other pair is linked.
 
+    ``close`` (row_id, component_id) has for each row the smallest row of those that another
+    method holds for near copies. Their whole sets are compared first; what is linked
+    so is not compared again by bands.
+
     Each set is compared with the most central band-mates first, which links a group of
     copies in one step, linear in its size. What is then left in bands of several
     components is joined exactly on its rarest shingles (see ``_prefix_pairs``), which
@@ -227,10 +252,23 @@ def near_copies(
     bands = unique.select("node", "size", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").count().where("count > 1").select("key")
     mates, mates_folder = stored_at(bands.join(shared, "key"))
-    wanted = unique.join(mates.select("node").distinct(), "node", "left_semi").select("node", "row")
+    met, gone = mates.select("node"), []
+    if close is not None:
+        near = close.select(F.col(row_id).alias("row"), F.col("component_id").alias("near"))
+        near_pairs, folder = stored_at(_close_pairs(near, unique, least))
+        gone.append(folder)
+        met = met.unionByName(near_pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = unique.join(met.distinct(), "node", "left_semi").select("node", "row")
     sets, sets_folder = stored_at(_sets(rows.join(wanted, "row").select("node", "__bytes"), width))
 
-    links, links_folder = stored_at(_similar(_head_pairs(mates, least), sets, least))
+    heads = _head_pairs(mates, least)
+    if close is None:
+        links, links_folder = stored_at(_similar(heads, sets, least))
+    else:
+        linked, folder = stored_at(_similar(near_pairs, sets, least))
+        gone.append(folder)
+        others, links_folder = stored_at(_similar(_open_pairs(heads, linked), sets, least))
+        links = linked.unionByName(others)
     roots = components(links)
     comps = mates.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     split = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -259,6 +297,6 @@ def near_copies(
     )
     remove(
         spark, unique_folder, mates_folder, sets_folder, links_folder, crowd_folder, pairs_folder,
-        more_folder,
+        more_folder, *gone,
     )
     return found

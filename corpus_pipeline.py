@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, decontam, minhash, quality, suffix_dedup
+from clickloom.llm import bpe, decontam, minhash, quality, simhash, suffix_dedup
 from clickloom.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -51,13 +51,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id.
 
-    Near means that 0.8 of the five-word shingles of both texts are common to them; the
-    two bits of op6's query would leave nearly all such copies. Rows are told apart as
+    Near means that 0.8 of the five-word shingles of both texts are common to them. The
+    operator of op6 groups all rows by SimHash fingerprints of these shingles; what it finds is
+    confirmed by the whole sets of shingles. As two bits leave nearly all such copies, those
+    that are left are sought by bands and exactly. Rows are told apart as
     rows: of repeated rows, rows that share an id, or rows without one, only those go that
     are near copies of a row that stays.
     """
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = minhash.near_copies(rows, "__row")
+    close = simhash.near_duplicates(rows, "__row", width=minhash.WIDTH, keep=("__row",))
+    found = minhash.near_copies(rows, "__row", close=close)
     gone = found.where("not first").select("__row")
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 

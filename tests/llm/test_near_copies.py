@@ -3,10 +3,11 @@
 import random
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import minhash
+from clickloom.llm import minhash, simhash
 
 
 def _docs():
@@ -105,6 +106,22 @@ def test_pipeline_stage_drops_copies_that_two_bits_leave(spark):
     assert corpus_pipeline.drop_near_copies(spark, df.where("false"), "").count() == 0
 
 
+def test_pipeline_stage_groups_by_fingerprints(spark, monkeypatch):
+    """Copies within two bits go though no band has them; texts that are only close in bits stay."""
+    alone = lambda sets: np.random.default_rng().integers(0, 1 << 63, (len(sets), minhash.BANDS), np.uint64)
+    monkeypatch.setattr(minhash, "band_keys", alone)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    docs = [(1, " ".join(base)), (2, "other words of another text"), (3, "other words of another page")]
+    for i in range(4, 7):  # one word in 20,000 differs
+        docs.append((i, " ".join([*base[: 3000 * i], "changed", *base[3000 * i + 1 :]])))
+    near = brute.linked({i: simhash.fingerprint(t.encode(), minhash.WIDTH) for i, t in docs})
+    assert any(near[i] == 1 for i in (4, 5, 6))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == {i for i, root in near.items() if i == root}
+
+
 def test_pipeline_of_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
